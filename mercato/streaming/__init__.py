@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The reference defines batch statements only: no stream source, watermark,
+window over event time or state appears in it, so there is nothing to
+re-express with Structured Streaming.  The package is kept so a later round
+can add incremental silver refreshes if the reference grows them.
+"""
