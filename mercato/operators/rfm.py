@@ -47,9 +47,12 @@ def rfm_metrics(t: Tables, as_of: str | _dt.date | None = None,
                  F.sum("rev").alias("monetary")))
 
 
-def _thresholds(metrics: DataFrame, column: Column, accuracy: int) -> Column:
+def _thresholds(metrics: DataFrame, columns: dict[str, Column], accuracy: int) -> Column:
+    """One scalar subquery: a struct of quantile arrays, one field per measure."""
     fr = F.array(*[F.lit(f) for f in FRACTIONS])
-    return metrics.select(F.percentile_approx(column, fr, accuracy)).scalar()
+    return metrics.select(F.struct(*[
+        F.percentile_approx(c, fr, accuracy).alias(name) for name, c in columns.items()
+    ])).scalar()
 
 
 def _low_is_good(x: Column, q: Column) -> Column:
@@ -78,9 +81,8 @@ def rfm_scores(t: Tables, as_of: str | _dt.date | None = None, grain: str = "cus
     """The stored customer-score table (one row per ``grain``)."""
     m = rfm_metrics(t, as_of, grain)
     money = F.col("monetary").cast("double")
-    rq = _thresholds(m, F.col("recency"), accuracy)
-    fq = _thresholds(m, F.col("frequency"), accuracy)
-    mq = _thresholds(m, money, accuracy)
+    q = _thresholds(m, {"r": F.col("recency"), "f": F.col("frequency"), "m": money}, accuracy)
+    rq, fq, mq = q["r"], q["f"], q["m"]
     r, f, mm = (_low_is_good(F.col("recency"), rq), _high_is_good(F.col("frequency"), fq),
                 _high_is_good(money, mq))
     scored = m.select(grain, "recency", "frequency", as_double(F.col("monetary")).alias("monetary"),

@@ -90,19 +90,25 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
-    line_order = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
     price = F.col("l_extendedprice").cast(MONEY_TYPE)
-    return li.select(
+    renamed = li.select(
         F.col("l_orderkey").alias("order_id"),
-        F.row_number().over(line_order).alias("order_item_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_shipdate").alias("shipping_limit_date"),
         price.alias("price"),
         F.round(price * F.col("l_tax").cast("decimal(4,2)"), 2).cast(MONEY_TYPE)
         .alias("freight_value"),
+        "l_linenumber", "l_extendedprice", "l_quantity",
     )
+    # Partitioned by the renamed key, so later per-order work (silver
+    # de-duplication, per-order aggregates) reuses this shuffle.
+    line_order = Window.partitionBy("order_id").orderBy(
+        "l_linenumber", "product_id", "seller_id", "l_extendedprice", "shipping_limit_date",
+        "l_quantity")
+    return renamed.select(
+        "order_id", F.row_number().over(line_order).alias("order_item_id"), "product_id",
+        "seller_id", "shipping_limit_date", "price", "freight_value")
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
