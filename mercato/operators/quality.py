@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions import (first_per_key, key_audit, key_count, local_date,
@@ -62,15 +62,19 @@ def items_local_date(items_s: DataFrame, zone: str = DEFAULT_ZONE,
 def orders_duplicate_rows(orders: DataFrame) -> DataFrame:
     """Order rows beyond the first per ``order_id`` (expected: none).
 
-    Aggregates instead of numbering rows: only keys seen more than once are
-    joined back, so no per-key sort of the whole table is needed.
+    "First" is the smallest row in column order.  Written without a window
+    so a key repeated millions of times is not sorted in one task: keys seen
+    more than once are found by an aggregate, their first row by a
+    (partially aggregated) ``min`` per key, and ``exceptAll`` removes one
+    copy of it, grouping on all columns.
     """
+    rest = [c for c in orders.columns if c != "order_id"]
     repeated = (orders.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
                 .filter("_n > 1").select("order_id"))
-    ordered = [F.col(c).asc_nulls_last() for c in orders.columns]
     dup = orders.join(repeated, "order_id", "left_semi")
-    w = Window.partitionBy("order_id").orderBy(*ordered)
-    return dup.withColumn("_rn", F.row_number().over(w)).filter("_rn > 1").drop("_rn")
+    first = (dup.groupBy("order_id").agg(F.min(F.struct(*rest)).alias("_f"))
+             .select("order_id", *[F.col(f"_f.{c}").alias(c) for c in rest]))
+    return dup.exceptAll(first.select(*orders.columns))
 
 
 def orders_pk_audit(t: Tables) -> DataFrame:

@@ -81,8 +81,9 @@ def low_price_repeat_buyers(t: Tables, min_orders: int = 2,
     per = t.items.groupBy("order_id").agg(F.sum("price").alias("s"), F.count("price").alias("n"))
     j = per.join(o, "order_id").join(
         t.customers.select("customer_id", "customer_unique_id"), "customer_id")
+    # one row per order (items pre-aggregated): distinct count == count
     out = (j.groupBy("customer_unique_id")
-           .agg(F.count_distinct("order_id").alias("total_orders"),
+           .agg(F.count("order_id").alias("total_orders"),
                 round_money(exact_mean(F.sum("s"), F.sum("n"))).alias("average_item_price"),
                 round_money(F.sum("s")).alias("total_revenue_from_customer"))
            .filter((F.col("total_orders") >= min_orders)

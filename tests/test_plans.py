@@ -29,22 +29,41 @@ def test_no_python_and_no_unbounded_global_window(spark, sf_dir, name):
                 assert name in GLOBAL_WINDOW_OK, line
 
 
-def test_silver_dedup_uses_group_limit(spark, sf_dir):
-    # items are already partitioned by order for their numbering: the
-    # de-duplication adds no shuffle of its own
-    text = _plan(spark, sf_dir, "items_silver")
+def test_silver_dedup_needs_no_shuffle_on_bucketed_sources(spark, sf_dir):
+    for name in ("items_silver", "reviews_silver"):
+        text = _plan(spark, sf_dir, name)
+        assert "WindowGroupLimit" in text and "Exchange (" not in text, name
+
+
+def test_silver_dedup_limits_before_shuffle_on_raw_sources(spark, sf_dir):
+    from mercato.operators import quality
+    from mercato.sources import stand_in_tables
+    t = stand_in_tables(spark, sf_dir)
+    # items: the numbering shuffle is reused, no second exchange
+    text = explain_text(quality.items_silver(t.items))
     assert "WindowGroupLimit" in text and text.count("Exchange (") == 1
     # reviews arrive unpartitioned: a partial limit runs before the shuffle
-    text = _plan(spark, sf_dir, "reviews_silver")
+    text = explain_text(quality.reviews_silver(t.reviews))
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
+def _first_scan(text):
+    return text.split("(1) Scan parquet", 1)[1].split("\n\n", 1)[0]
+
+
 def test_filters_reach_the_scan_and_columns_are_pruned(spark, sf_dir):
-    text = _plan(spark, sf_dir, "order_status_counts")
-    scan = text.split("(1) Scan parquet", 1)[1].split("\n\n", 1)[0]
-    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in scan
+    scan = _first_scan(_plan(spark, sf_dir, "order_status_counts"))
+    assert "ReadSchema: struct<order_status:string>" in scan
+    assert "PushedFilters: [IsNotNull(order_status)]" in scan
     text = _plan(spark, sf_dir, "seller_cancellations")
-    assert "PushedFilters" in text
+    assert "EqualTo(order_status,canceled)" in text
+
+
+def test_raw_source_scans_are_pruned(spark, sf_dir):
+    from mercato.operators import sales
+    from mercato.sources import stand_in_tables
+    text = explain_text(sales.order_status_counts(stand_in_tables(spark, sf_dir)))
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in _first_scan(text)
 
 
 def test_means_are_scalar_subqueries_not_windows(spark, sf_dir):

@@ -125,3 +125,11 @@ def test_product_performance_fan_out_and_zero_price(spark):
     r = sales.product_performance(t).first()
     assert (r.total_sales_count, r.total_monetary, r.average_review_score,
             r.total_review_count) == (1, 20.0, 4.0, 2)
+
+
+def test_duplicate_order_rows(spark):
+    t = make_tables(spark, orders=[order("o1"), order("o1"), order("o1", status="shipped"),
+                                   order("o2")])
+    got = sorted(r.order_status for r in quality.orders_duplicate_rows(t.orders).collect())
+    assert got == ["delivered", "shipped"]  # three rows of o1, the first kept out
+    assert not quality.orders_pk_audit(t).first().is_key
