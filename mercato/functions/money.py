@@ -27,3 +27,21 @@ def exact_mean(total: Column, n: Column) -> Column:
 def rate_percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """``round(part * 100.0 / whole, digits)`` in double, null if whole is 0."""
     return F.round(F.try_divide(part.cast("double") * F.lit(100.0), whole.cast("double")), digits)
+
+
+RATIO_PLACES = 10
+
+
+def ratio_units(num: Column, den: Column, places: int = RATIO_PLACES) -> Column:
+    """``num / den`` of two decimals rounded half up to ``places`` decimals,
+    as an exact integer count of 10^-places units (DECIMAL(38,0)).
+
+    Means of such ratios are summed exactly, so they do not depend on how
+    rows are partitioned or in which order partial sums are merged.
+    """
+    return (F.round(num / den, places) * F.lit(10 ** places)).cast("decimal(38,0)")
+
+
+def units_mean(unit_sum: Column, n: Column, places: int = RATIO_PLACES) -> Column:
+    """Mean of ratios from a sum of :func:`ratio_units` and their count."""
+    return unit_sum.cast("double") / n / F.lit(float(10 ** places))

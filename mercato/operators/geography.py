@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions import (as_double, asc, desc, elapsed_days, rate_percent, round_money,
-                               top_k_per_group)
+from mercato.functions import (as_double, asc, desc, elapsed_days, rate_percent, ratio_units,
+                               round_money, top_k_per_group, units_mean)
 from mercato.operators._shared import (CANCELED, EN, category_lookup, delivered_orders, one)
 from mercato.sources import Tables
 
@@ -121,7 +121,7 @@ def state_service_profile(t: Tables) -> DataFrame:
     """Per customer state over delivered, priced, translated items ⋈
     reviews (each item once per review row): revenue, mean freight/price,
     mean score, mean days to answer a review."""
-    ratio = F.col("freight_value").cast("double") / F.col("price").cast("double")
+    ratio = ratio_units(F.col("freight_value"), F.col("price"))
     itm = _translated_priced_items(t).groupBy("order_id").agg(
         one().alias("n_i"), F.sum("price").alias("price_sum"),
         F.sum(ratio).alias("ratio_sum"), F.count(ratio).alias("ratio_n"))
@@ -135,7 +135,8 @@ def state_service_profile(t: Tables) -> DataFrame:
     n_i, n_r = F.col("n_i"), F.col("n_r")
     return (j.groupBy("customer_state").agg(
         as_double(F.sum(F.col("price_sum") * n_r)).alias("total_price"),
-        (F.sum(F.col("ratio_sum") * n_r) / F.sum(F.col("ratio_n") * n_r)).alias("avg_cargo_ratio"),
+        units_mean(F.sum(F.col("ratio_sum") * n_r), F.sum(F.col("ratio_n") * n_r))
+        .alias("avg_cargo_ratio"),
         (F.sum(n_i * F.col("score_sum")) / F.sum(n_i * F.col("score_n"))).alias("avg_score"),
         (F.sum(n_i * F.col("ans_sum")) / F.sum(n_i * F.col("ans_n"))).alias("avg_answer_time_day"))
         .orderBy(desc("total_price"), asc("customer_state")))
@@ -162,10 +163,10 @@ def state_profile_top_categories(t: Tables) -> DataFrame:
               .agg(F.sum(F.col("price") * w).alias("category_monetary"),
                    F.sum(w).alias("category_count")))
     days = elapsed_days("review_creation_date", "review_answer_timestamp")
-    ratio = F.col("freight_value").cast("double") / F.col("price").cast("double")
+    ratio = ratio_units(F.col("freight_value"), F.col("price"))
     return (groups.groupBy("customer_state").agg(
         as_double(F.sum("price")).alias("total_price"),
-        F.avg(ratio).alias("avg_cargo_ratio"),
+        units_mean(F.sum(ratio), F.count(ratio)).alias("avg_cargo_ratio"),
         F.avg("review_score").alias("avg_score"),
         F.avg(days).alias("avg_answer_time_day"),
         F.min_by(EN, F.struct(-F.col("category_monetary"), F.col(EN)))

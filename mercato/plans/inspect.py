@@ -1,35 +1,44 @@
-"""Plan checks used by the tests: what the physical plan must (not) hold."""
+"""Plan checks: read a DataFrame's physical plan without running it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
 
+from pyspark.sql import DataFrame
 
-def physical_plan(df: DataFrame) -> str:
-    """The formatted physical plan (no job runs)."""
-    return df._jdf.queryExecution().executedPlan().toString()
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
+                "MapInPandas")
 
 
 def explain_text(df: DataFrame, mode: str = "formatted") -> str:
+    """The plan as ``df.explain(mode)`` prints it, as a string."""
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
 
-def has_python_udf(df: DataFrame) -> bool:
-    text = explain_text(df, "extended")
-    return any(n in text for n in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF"))
+def has_python(df: DataFrame) -> bool:
+    text = explain_text(df)
+    return any(node in text for node in PYTHON_NODES)
+
+
+_SPEC = "windowspecdefinition("
 
 
 def unpartitioned_windows(df: DataFrame) -> list[str]:
-    """Window operators whose partition spec is empty (all rows, one task)."""
+    """Window specs with an empty PARTITION BY (all rows go to one task).
+
+    In ``windowspecdefinition(...)`` partition keys come first; when the
+    first argument is already an order key or the frame, there are none.
+    """
     out = []
-    for line in explain_text(df, "formatted").splitlines():
-        s = line.strip()
-        if s.startswith("Arguments:") and "windowspecdefinition(" in s:
-            spec = s.split("windowspecdefinition(", 1)[1]
-            if spec.startswith("specifiedwindowframe") or spec.split(",")[0].strip().endswith("ASC NULLS FIRST") and "," not in spec.split(")")[0]:
-                out.append(s)
+    for line in explain_text(df).splitlines():
+        if not line.startswith("Arguments:") or _SPEC not in line:
+            continue
+        for spec in line.split(_SPEC)[1:]:
+            first = spec.split(",", 1)[0]
+            if first.startswith("specifiedwindowframe") or re.search(r" (ASC|DESC) NULLS", first):
+                out.append(spec[:120])
     return out
 
 
-def count_nodes(df: DataFrame, name: str) -> int:
-    return explain_text(df, "formatted").count(f" {name} (")
+def exchanges(df: DataFrame) -> int:
+    return explain_text(df).count(" Exchange (")

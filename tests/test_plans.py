@@ -4,7 +4,7 @@ windows, shuffle reuse."""
 import pytest
 
 import __spark_entry__ as entry
-from mercato.plans.inspect import explain_text
+from mercato.plans.inspect import explain_text, has_python, unpartitioned_windows
 
 QUERIES = entry.queries()
 
@@ -17,16 +17,17 @@ def _plan(spark, sf_dir, name):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_python_and_no_unbounded_global_window(spark, sf_dir, name):
-    text = _plan(spark, sf_dir, name)
-    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
-    assert "CartesianProduct" not in text
-    for line in text.splitlines():
-        if "windowspecdefinition(" in line and line.strip().startswith("Arguments"):
-            spec = line.split("windowspecdefinition(", 1)[1]
-            unpartitioned = line.rstrip().endswith("[]") or "], [], [" in line
-            if unpartitioned:
-                assert name in GLOBAL_WINDOW_OK, line
+def test_no_python_no_cartesian_no_unbounded_window(spark, sf_dir, name):
+    df = QUERIES[name](spark, sf_dir)
+    assert not has_python(df)
+    assert "CartesianProduct" not in explain_text(df)
+    if name not in GLOBAL_WINDOW_OK:
+        assert unpartitioned_windows(df) == [], name
+
+
+def test_global_window_detector(spark, sf_dir):
+    assert unpartitioned_windows(QUERIES["category_leaders"](spark, sf_dir))
+    assert not unpartitioned_windows(QUERIES["top_categories_per_state"](spark, sf_dir))
 
 
 def test_silver_dedup_needs_no_shuffle_on_bucketed_sources(spark, sf_dir):
