@@ -41,3 +41,4 @@ def asc(c: str) -> Column:
 
 def desc(c: str) -> Column:
     return F.col(c).desc_nulls_last()
+

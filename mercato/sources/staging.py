@@ -1,15 +1,17 @@
-"""Store source tables once, bucketed by their join key, and read them back.
-
-Every fact table of the star schema (orders, items, payments, reviews) is
-keyed by ``order_id``: written into the same number of buckets on that key,
-joins between them and per-order aggregates need no shuffle, and the
-per-order window of the silver items runs where the rows already are.
-Customers are bucketed on ``customer_id`` (their join key to orders).  The
-small dimensions are stored plainly.
+"""Store source tables once and read them back.
 
 The folder should be shared storage (the session's ``spark.checkpoint.dir``
 by default): the stored tables cut the lineage back to the raw files, so a
 lost executor re-reads stored files instead of recomputing the sources.
+
+By default the tables are plain parquet.  With ``buckets=n`` the fact
+tables (orders, items, payments, reviews) are bucketed on ``order_id`` and
+customers on ``customer_id``: joins between facts and per-order aggregates
+then need no shuffle.  The price is skew: a bucket is read by one task, so
+an order holding a large share of all rows would be scanned by one task.
+Unbucketed, that order is spread over many input splits and the partial
+aggregates and partial group limits collapse it before any shuffle, which
+is why bucketing is opt-in.
 """
 
 from __future__ import annotations
@@ -40,8 +42,7 @@ def stage_tables(spark: SparkSession, tables: Tables | Callable[[], Tables], sou
     when something has to be written.
     """
     folder = folder or os.path.join(ensure_checkpoint_dir(spark), "mercato-stage")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tag = _tag(f"{source_id}|{buckets}")
+    tag = _tag(f"{source_id}|{buckets or 0}")
     out: dict[str, DataFrame] = {}
     source: Tables | None = tables if isinstance(tables, Tables) else None
     for name in Tables.__dataclass_fields__:
@@ -52,7 +53,7 @@ def stage_tables(spark: SparkSession, tables: Tables | Callable[[], Tables], sou
             writer = (getattr(source, name).write.mode("overwrite").format("parquet")
                       .option("path", f"{folder}/{tag}/{name}"))
             key = BUCKET_KEYS.get(name)
-            if key:
+            if key and buckets:
                 writer = writer.bucketBy(buckets, key).sortBy(key)
             writer.saveAsTable(table)
         out[name] = spark.table(table)
