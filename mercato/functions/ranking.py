@@ -42,3 +42,35 @@ def asc(c: str) -> Column:
 def desc(c: str) -> Column:
     return F.col(c).desc_nulls_last()
 
+
+
+def row_number_split(df: DataFrame, key: str, order: Sequence[str], name: str,
+                     pieces: int | None = None) -> DataFrame:
+    """``row_number() OVER (PARTITION BY key ORDER BY order)`` without
+    sending a whole key group to one task.
+
+    1. Range-partition on ``(key, *order)``: a large group spans several
+       partitions, each holding a contiguous run of its order.
+    2. Number rows within each (partition, key) piece; a hash exchange on
+       both splits a large group into its pieces.
+    3. Store that result with ``checkpoint()`` (the session's checkpoint
+       folder): both uses below must see the same partition numbers.
+    4. Each piece's offset is the size of the key's earlier pieces (one row
+       per piece, at most ``pieces`` per key), joined back on (key, piece).
+
+    Runs one job when called (the checkpoint).  Equal to the plain window
+    whenever ``order`` is a total order within the key.
+    """
+    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.repartitionByRange(n, key, *order)
+              .withColumn("_piece", F.spark_partition_id()))
+    local = ranged.withColumn(
+        "_local", F.row_number().over(Window.partitionBy("_piece", key).orderBy(*order)))
+    local = local.checkpoint(eager=True)
+    earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (local.groupBy(key, "_piece").agg(F.count(F.lit(1)).alias("_size"))
+               .withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+               .select(key, "_piece", "_offset"))
+    return (local.join(offsets, [key, "_piece"])
+            .withColumn(name, (F.col("_offset") + F.col("_local")).cast("int"))
+            .drop("_piece", "_local", "_offset"))

@@ -14,9 +14,10 @@ real export carries as a column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.functions.ranking import row_number_split
 from mercato.sources.schema import MONEY_TYPE, check_contract
 from mercato.sources.tables import Tables
 
@@ -101,14 +102,14 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("freight_value"),
         "l_linenumber", "l_extendedprice", "l_quantity",
     )
-    # Partitioned by the renamed key, so later per-order work (silver
-    # de-duplication, per-order aggregates) reuses this shuffle.
-    line_order = Window.partitionBy("order_id").orderBy(
-        "l_linenumber", "product_id", "seller_id", "l_extendedprice", "shipping_limit_date",
-        "l_quantity")
-    return renamed.select(
-        "order_id", F.row_number().over(line_order).alias("order_item_id"), "product_id",
-        "seller_id", "shipping_limit_date", "price", "freight_value")
+    # Numbered without putting a whole order in one task: a single order may
+    # hold a large share of all item rows (runs one checkpoint job).
+    line_order = ["l_linenumber", "product_id", "seller_id", "l_extendedprice",
+                  "shipping_limit_date", "l_quantity"]
+    numbered = row_number_split(renamed, "order_id", line_order, "order_item_id")
+    return numbered.select(
+        "order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date", "price",
+        "freight_value")
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:

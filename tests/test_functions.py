@@ -63,3 +63,17 @@ def test_key_audit_and_null_profile(spark):
     assert ok.is_key
     p = null_profile(df, ["k", "v"]).first()
     assert (p.null_k, p.null_v) == (1, 1)
+
+
+def test_row_number_split_matches_window_on_a_hot_key(spark):
+    from pyspark.sql import Window
+    from mercato.functions.ranking import row_number_split
+    # two thirds of the rows share one key
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"),
+        (F.col("id") * 7919 % 30011).alias("v"))
+    plain = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("v")))
+    split = row_number_split(df, "k", ["v"], "rn", pieces=16)
+    assert sorted(plain.collect()) == sorted(split.collect())
+    # the hot key is numbered in several pieces, not in one task
+    assert split.filter("k = -1").agg(F.max("rn")).first()[0] == 20000
