@@ -102,3 +102,21 @@ def test_active_sellers_and_mix(spark):
     assert set(mix) == {("s1", "A"), ("s1", "B")}
     assert mix[("s1", "A")].total_items_by_seller == 2
     assert mix[("s1", "A")].total_categories_by_seller == 2
+
+
+def test_approval_latency_candidates(spark):
+    t = _geo(spark, orders=[
+        order("o1", "c1", purchase="2018-01-01 00:00:00", approved="2018-01-03 00:00:00"),
+        order("o2", "c2", purchase="2018-01-01 00:00:00", approved="2018-01-02 00:00:00"),
+        order("o3", "c3", purchase="2018-01-01 00:00:00", approved="2018-01-09 00:00:00"),
+        order("o4", "c4", purchase="2018-01-01 00:00:00", approved=None)],
+        items=[item("o1", 1, price=5), item("o1", 2, price=3), item("o1", 3, price=4),
+               item("o2", 1, price=9), item("o4", 1, price=1)])
+    # o3 is slowest but has no items; o1's three items fill k = 2
+    got = [(r.order_id, float(r.price)) for r in risk.approval_latency(t, k=2).collect()]
+    assert got == [("o1", 3.0), ("o1", 4.0)]
+    got = [(r.order_id, r.approval_duration_seconds)
+           for r in risk.approval_latency(t, k=4).collect()]
+    assert got == [("o1", 172800)] * 3 + [("o2", 86400)]
+    fast = [r.order_id for r in risk.approval_latency(t, k=1, fastest_first=True).collect()]
+    assert fast == ["o2"]
