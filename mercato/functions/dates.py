@@ -36,7 +36,20 @@ def calendar_days(start: Column | str, end: Column | str) -> Column:
 
 
 def year_month(ts: Column | str) -> Column:
-    return F.date_format(_c(ts), "yyyy-MM")
+    """``YYYY-MM`` from the date parts (no session time zone involved)."""
+    c = _c(ts)
+    return F.concat(F.year(c).cast("string"), F.lit("-"),
+                    F.lpad(F.month(c).cast("string"), 2, "0"))
+
+
+def timestamp_text(ts: Column | str, dtype: T.DataType | None = None) -> Column:
+    """``yyyy-MM-dd HH:mm:ss``.  Zone-less timestamps are printed as stored
+    (``date_format`` would pass them through the session zone and move
+    wall times that fall in a daylight-saving gap)."""
+    c = _c(ts)
+    if isinstance(dtype, T.TimestampType):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return F.substring(c.cast("string"), 1, 19)
 
 
 def week_label(ts: Column | str) -> Column:

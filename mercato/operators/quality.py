@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions import (first_per_key, key_audit, key_count, local_date,
-                               null_profile, sentinel)
+                               null_profile, sentinel, timestamp_text)
 from mercato.functions.dates import DEFAULT_ZONE
 from mercato.sources import Tables
 
@@ -101,7 +101,8 @@ def orders_silver(orders: DataFrame) -> DataFrame:
 
 def orders_approved_label(t: Tables, unknown: str = "UNKNOWN") -> DataFrame:
     """Approval time as text, ``UNKNOWN`` where missing."""
-    label = F.coalesce(F.date_format("order_approved_at", "yyyy-MM-dd HH:mm:ss"), F.lit(unknown))
+    dtype = t.orders.schema["order_approved_at"].dataType
+    label = F.coalesce(timestamp_text("order_approved_at", dtype), F.lit(unknown))
     return t.orders.withColumn("order_approved_at", label)
 
 

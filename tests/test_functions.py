@@ -77,3 +77,16 @@ def test_row_number_split_matches_window_on_a_hot_key(spark):
     assert sorted(plain.collect()) == sorted(split.collect())
     # the hot key is numbered in several pieces, not in one task
     assert split.filter("k = -1").agg(F.max("rn")).first()[0] == 20000
+
+
+def test_text_labels_ignore_the_session_zone(spark):
+    from mercato.functions import timestamp_text, year_month
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        # 02:30 on 2001-04-01 does not exist in Los Angeles (clocks jump)
+        df = spark.createDataFrame([(dt.datetime(2001, 4, 1, 2, 30, 5),)], "t timestamp_ntz")
+        r = df.select(timestamp_text("t").alias("s"), year_month("t").alias("m")).first()
+        assert (r.s, r.m) == ("2001-04-01 02:30:05", "2001-04")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
