@@ -61,6 +61,8 @@ def row_number_split(df: DataFrame, key: str, order: Sequence[str], name: str,
     Runs one job when called (the checkpoint).  Equal to the plain window
     whenever ``order`` is a total order within the key.
     """
+    from mercato.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, key, *order)
               .withColumn("_piece", F.spark_partition_id()))
