@@ -28,7 +28,7 @@ def delivered_orders(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
     return orders.filter(F.col("order_status") == status)
 
 
-def category_lookup(t: Tables, translated: str = "left", products: str = "inner") -> DataFrame:
+def category_lookup(t: Tables, translated: str = "left") -> DataFrame:
     """product_id -> native and English category.
 
     ``translated="inner"`` keeps only products whose category has a

@@ -120,3 +120,18 @@ def test_approval_latency_candidates(spark):
     assert got == [("o1", 172800)] * 3 + [("o2", 86400)]
     fast = [r.order_id for r in risk.approval_latency(t, k=1, fastest_first=True).collect()]
     assert fast == ["o2"]
+
+
+def test_state_profile_category_level(spark):
+    # A: one expensive item; B: three cheap items -> A leads revenue, B rows
+    t = _geo(spark, orders=[order("o1", "c1"), order("o2", "c1")],
+             items=[item("o1", 1, pid="p1", price=100, freight=10),
+                    item("o2", 1, pid="p2", price=5, freight=1),
+                    item("o2", 2, pid="p2", price=6, freight=1),
+                    item("o2", 3, pid="p2", price=7, freight=1)],
+             reviews=[review("r1", "o1", 5), review("r2", "o2", 3)])
+    by_cat = geography.state_profile_top_categories(t, level="category").first()
+    assert (by_cat.most_monetary_category, by_cat.most_counted_category) == ("A", "B")
+    h26 = geography.state_service_profile(t).first()
+    assert (by_cat.total_price, by_cat.avg_score) == (h26.total_price, h26.avg_score) == (
+        118.0, 3.5)

@@ -133,3 +133,25 @@ def test_duplicate_order_rows(spark):
     got = sorted(r.order_status for r in quality.orders_duplicate_rows(t.orders).collect())
     assert got == ["delivered", "shipped"]  # three rows of o1, the first kept out
     assert not quality.orders_pk_audit(t).first().is_key
+
+
+def test_items_option_raw_against_silver(spark):
+    # K01 reads silver items by default; passing raw items gives I14's AOV
+    t = make_tables(spark, items=[item("a", 1, price=10), item("a", 2, price=30),
+                                  item("b", 1, price=5)])
+    silver = sales.aov_all_time(quality.items_silver(t.items)).first()
+    raw = sales.aov_all_time(t.items).first()
+    assert (silver.total_revenue, silver.average_order_value) == (15.0, 7.5)
+    assert (raw.total_revenue, raw.average_order_value) == (45.0, 22.5)
+    assert raw.average_order_value == sales.aov_raw_items(t).first().AOV
+
+
+def test_reviews_option_silver_removes_the_fan_out(spark):
+    t = _catalog(spark, items=[item("o1", 1, pid="p1", price=10)],
+                 reviews=[review("r1", "o1", 5), review("r2", "o1", 1)])
+    as_written = sales.category_leaders(t, min_items=1, min_reviews=1).first()
+    assert (as_written.total_items_sold, as_written.total_revenue) == (2, 20.0)
+    one_review = t.with_(reviews=quality.reviews_silver(t.reviews))
+    fixed = sales.category_leaders(one_review, min_items=1, min_reviews=1).first()
+    assert (fixed.total_items_sold, fixed.total_revenue, fixed.average_review_score) == (
+        1, 10.0, 5.0)
