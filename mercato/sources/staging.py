@@ -23,6 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.session import ensure_checkpoint_dir
+from mercato.sources.files import read_table, write_table
 from mercato.sources.tables import Tables
 
 BUCKET_KEYS = {"orders": "order_id", "items": "order_id", "payments": "order_id",
@@ -33,28 +34,48 @@ def _tag(text: str) -> str:
     return hashlib.sha1(text.encode()).hexdigest()[:10]
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Did a write to ``path`` finish (``_SUCCESS`` present)?  Any file
+    system Spark can write to (local, HDFS, object stores)."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def stage_tables(spark: SparkSession, tables: Tables | Callable[[], Tables], source_id: str,
-                 folder: str | None = None, buckets: int | None = None) -> Tables:
-    """S3 + S4: write each table under ``folder`` (once per session) and
-    return a bundle that reads the stored tables.
+                 folder: str | None = None, buckets: int | None = None,
+                 version: str = "") -> Tables:
+    """S3 + S4: write each table under ``folder`` once and return a bundle
+    that reads the stored tables.
 
     ``tables`` may be a function building the bundle; it is only called
-    when something has to be written.
+    when something has to be written.  ``source_id`` and ``version`` (e.g. a
+    hash of the code that derives the tables) name the stored copy, so a
+    finished copy (``_SUCCESS``) is reused and a changed derivation is
+    written anew.  Plain parquet folders need no catalog; bucketed tables
+    are registered in the session catalog (bucketing lives there).
     """
     folder = folder or os.path.join(ensure_checkpoint_dir(spark), "mercato-stage")
-    tag = _tag(f"{source_id}|{buckets or 0}")
+    tag = _tag(f"{source_id}|{buckets or 0}|{version}")
     out: dict[str, DataFrame] = {}
     source: Tables | None = tables if isinstance(tables, Tables) else None
+
+    def build() -> Tables:
+        nonlocal source
+        if source is None:
+            source = tables()
+        return source
+
     for name in Tables.__dataclass_fields__:
-        table = f"mercato_{tag}_{name}"
-        if not spark.catalog.tableExists(table):
-            if source is None:
-                source = tables()
-            writer = (getattr(source, name).write.mode("overwrite").format("parquet")
-                      .option("path", f"{folder}/{tag}/{name}"))
-            key = BUCKET_KEYS.get(name)
-            if key and buckets:
-                writer = writer.bucketBy(buckets, key).sortBy(key)
-            writer.saveAsTable(table)
-        out[name] = spark.table(table)
+        path = f"{folder}/{tag}/{name}"
+        key = BUCKET_KEYS.get(name)
+        if key and buckets:
+            table = f"mercato_{tag}_{name}"
+            if not spark.catalog.tableExists(table):
+                (getattr(build(), name).write.mode("overwrite").format("parquet")
+                 .option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+            out[name] = spark.table(table)
+        else:
+            if not _complete(spark, path):
+                write_table(getattr(build(), name), path)
+            out[name] = read_table(spark, path)
     return Tables(**out)
