@@ -37,13 +37,18 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the session.
+    """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; we only set
-    one ourselves when it is unset (local tests), under a fresh temp folder.
+    Where it is unset, only a session inside this one process (master
+    ``local[...]``: tests, benches, notebooks) gets a new temp folder; on
+    a cluster other machines could not see one, so that is an error.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all "
+                             "executors share; intermediate tables are written there")
         current = tempfile.mkdtemp(prefix="mercato-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, current)
     if spark.sparkContext.getCheckpointDir() is None:
