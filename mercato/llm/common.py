@@ -43,7 +43,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     from files, whatever happens to the executors that made them."""
     spark = df.sparkSession
     folder = shared_folder(spark, name)
-    df.write.mode("overwrite").parquet(folder)
+    # zstd works on the heap; snappy's direct buffers pile up over many small files
+    df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -7,14 +7,71 @@ DuckDB statements for those SQL can express.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mercato.llm import simhash
+from mercato.llm import decontaminate, linededup, mixing, simhash, tokens, toxicity
 from mercato.llm.common import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"),
+                                        table(spark, sf_dir, "benchmark"), window=10, near=16)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"))
+
+
+def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_repeats=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                             mod=5, held=0)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=3)
 
 
-QUERIES = {f.__name__: f for f in (op10_simhash,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op2_decontaminate, op4_token_planes, op7_mixing, op8_toxicity, op9_line_dedup, op10_simhash)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": """
+        WITH line AS (
+            SELECT doc_id, d.text, unnest(string_split(coalesce(d.text, ''), chr(10))) AS txt,
+                   generate_subscripts(string_split(coalesce(d.text, ''), chr(10)), 1) AS pos
+            FROM documents d),
+        keyed AS (
+            SELECT doc_id, pos, txt,
+                   translate(trim(txt, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+            FROM line),
+        first_doc AS (
+            SELECT k, min(doc_id) AS owner FROM keyed WHERE length(k) >= 10
+            GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+        marked AS (
+            SELECT keyed.*, (owner IS NOT NULL AND owner <> doc_id) AS gone
+            FROM keyed LEFT JOIN first_doc USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(txt, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), ''))
+                   AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+}
