@@ -141,8 +141,8 @@ def route(patterns: DataFrame, sources: DataFrame, max_repeats: int = 3) -> Data
         named = (sources.join(stars, sources.number == stars.a, "left")
                  .withColumn("group", F.coalesce("b", F.col("number").cast("long"))).drop("a", "b"))
     groups = named.select("number", "group")
-    own = (patterns.withColumn("number", F.array_min("pattern")).join(groups, "number")
-           .select("group", "pattern", "tokens"))
+    own = stored(patterns.withColumn("number", F.array_min("pattern")).join(groups, "number")
+                 .select("group", "pattern", "tokens"), "flow-input")
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = sorted((sorted(int(x) for x in p), int(t))
