@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import decontaminate, linededup, mixing, simhash, tokens, toxicity
+from mercato.llm import (decontaminate, linededup, mixing, onebit, pii, quality, simhash, tokens,
+                         toxicity, warc)
 from mercato.llm.common import table
 
 
@@ -18,6 +19,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"), min_revisit=1_000).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"),
                                         table(spark, sf_dir, "benchmark"), window=10, near=16)
@@ -27,10 +33,26 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("near_items").cast("long").alias("n_near_items"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
+def op5_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return onebit.search(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                           mod=3, held=1)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_repeats=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -51,9 +73,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontaminate, op4_token_planes, op7_mixing, op8_toxicity, op9_line_dedup, op10_simhash)}
+    op1_warc, op2_decontaminate, op3_personal_data, op4_token_planes, op5_one_bit_codes, op6_quality,
+    op7_mixing, op8_toxicity, op9_line_dedup, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH page AS (
+            SELECT page_id, url, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n
+            FROM pages),
+        keeper AS (SELECT body, max(page_id) AS keep FROM page WHERE n >= 1000 GROUP BY body)
+        SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN n >= 1000 AND keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND keep <> page_id THEN keep END AS refers_to
+        FROM page LEFT JOIN keeper USING (body)""",
     "op9_line_dedup": """
         WITH line AS (
             SELECT doc_id, d.text, unnest(string_split(coalesce(d.text, ''), chr(10))) AS txt,
