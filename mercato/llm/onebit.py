@@ -178,7 +178,7 @@ def _search(index: DataFrame, coder: Coder, queries: str, k: int, bits: int,
             limit = np.minimum(limit, np.partition(high, k - 1, axis=1)[:, k - 1])
         out = []
         for i in range(len(q)):
-            at = np.flatnonzero(low[i] <= limit[i])
+            at = np.flatnonzero((low[i] <= limit[i]) & ~same[i])
             exact = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
             best = np.lexsort([ids[at], exact])[:k]
             best = best[exact[best] <= bound[i]]

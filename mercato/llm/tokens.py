@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from mercato.llm.common import chunks, file_system, ragged, shared_folder, stored, text_bytes
 
 MAGIC = b"MPLANES1"
-TAIL = struct.Struct("<QQQQQQII8s")
+TAIL = "<QQQQQQII8s"
 BLOCK_IDS = 65_536
 
 
@@ -105,8 +105,8 @@ class Writer:
         planes = 32 if self.bits else 4
         index_at = self.at
         index_size = self._put(np.array(self.index, "<u8").reshape(-1, 3 + planes).tobytes())
-        self._put(TAIL.pack(doc_at, doc_size, index_at, index_size, len(number), len(self.index),
-                            planes, self.block_ids, MAGIC))
+        self._put(struct.pack(TAIL, doc_at, doc_size, index_at, index_size, len(number),
+                              len(self.index), planes, self.block_ids, MAGIC))
         return len(number), int(sizes.sum()), self.at
 
 
@@ -116,9 +116,9 @@ class Reader:
     def __init__(self, stream):
         self.stream = stream
         stream.seek(0, 2)
-        stream.seek(stream.tell() - TAIL.size)
+        stream.seek(stream.tell() - struct.calcsize(TAIL))
         (doc_at, doc_size, index_at, index_size, docs, n_chunks, planes, self.block_ids,
-         magic) = TAIL.unpack(stream.read(TAIL.size))
+         magic) = struct.unpack(TAIL, stream.read(struct.calcsize(TAIL)))
         if magic != MAGIC:
             raise ValueError("not a token plane file")
         self.unpack = zstandard.ZstdDecompressor()
