@@ -20,8 +20,11 @@ def as_double(c: Column) -> Column:
 
 
 def exact_mean(total: Column, n: Column) -> Column:
-    """Sum / count of a decimal total, exact to 12 places before rounding."""
-    return F.try_divide(total, n.cast("decimal(20,0)"))
+    """Sum / count of a decimal total, exact to 12 places before rounding.
+
+    The total is brought to DECIMAL(25,2) first: a sum of sums is typed
+    DECIMAL(38,2), whose quotient would keep 6 places only."""
+    return F.try_divide(total.cast("decimal(25,2)"), n.cast("decimal(12,0)"))
 
 
 def rate_percent(part: Column, whole: Column, digits: int = 2) -> Column:

@@ -45,7 +45,8 @@ def customer_lifetime_value(items_s: DataFrame, orders_s: DataFrame, t: Tables |
     return (m.withColumn("lt_days", lt)
             .select(grain, "first_order_time", "last_order_time", "lt_days",
                     rev.alias("customer_total_revenue"), "customer_total_orders",
-                    F.round(clv, 2).alias("clv_estimated_yearly_brut")))
+                    F.round(clv, 2).alias("clv_estimated_yearly_brut"))
+            .orderBy(desc("clv_estimated_yearly_brut"), asc(grain)))
 
 
 def most_valuable_customers(t: Tables, status: str = DELIVERED) -> DataFrame:

@@ -112,9 +112,10 @@ def top_category_per_city(items_s: DataFrame, orders_s: DataFrame, t: Tables) ->
             .orderBy(desc("total_price"), asc("customer_city"), asc("most_category")))
 
 
-def _translated_priced_items(t: Tables) -> DataFrame:
-    look = category_lookup(t, translated="inner").select("product_id", EN)
-    return t.items.filter(F.col("price") > 0).join(look, "product_id")
+def _translated(t: Tables, by_product: DataFrame) -> DataFrame:
+    """Rows already aggregated by product, kept if their category is translated."""
+    return by_product.join(category_lookup(t, translated="inner").select("product_id", EN),
+                           "product_id")
 
 
 def state_service_profile(t: Tables) -> DataFrame:
@@ -126,9 +127,11 @@ def state_service_profile(t: Tables) -> DataFrame:
 
 def _service_measures(t: Tables) -> DataFrame:
     ratio = ratio_units(F.col("freight_value"), F.col("price"))
-    itm = _translated_priced_items(t).groupBy("order_id").agg(
+    by_product = t.items.filter(F.col("price") > 0).groupBy("order_id", "product_id").agg(
         one().alias("n_i"), F.sum("price").alias("price_sum"),
         F.sum(ratio).alias("ratio_sum"), F.count(ratio).alias("ratio_n"))
+    itm = _translated(t, by_product).groupBy("order_id").agg(
+        *(F.sum(c).alias(c) for c in ("n_i", "price_sum", "ratio_sum", "ratio_n")))
     days = elapsed_days("review_creation_date", "review_answer_timestamp")
     rv = t.reviews.groupBy("order_id").agg(
         one().alias("n_r"), F.sum("review_score").alias("score_sum"),
@@ -145,14 +148,28 @@ def _service_measures(t: Tables) -> DataFrame:
         (F.sum(n_i * F.col("ans_sum")) / F.sum(n_i * F.col("ans_n"))).alias("avg_answer_time_day")))
 
 
-def state_profile_top_categories(t: Tables, level: str = "group") -> DataFrame:
+def _paired(left: DataFrame, right: DataFrame, pieces: int) -> DataFrame:
+    """Every (left, right) row pair of an order, an order cut into a grid of
+    ``pieces`` x ``pieces``: each left row has one piece and is sent to a whole
+    row of the grid, each right row to a column, so one order holding most rows
+    is paired in many tasks.  The pairs are what the report groups by."""
+    piece = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(pieces)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
+    a = left.withColumn("_p", piece(left)).withColumn("_q", every)
+    b = right.withColumn("_q", piece(right)).withColumn("_p", every)
+    return a.join(b, ["order_id", "_p", "_q"]).drop("_p", "_q")
+
+
+def state_profile_top_categories(t: Tables, level: str = "group", pieces: int = 4) -> DataFrame:
     """H26's measures taken over distinct (state, category, price,
     freight, score, review times) groups, plus per state the category of
     the group with most revenue and of the group with most rows.
 
     As written, a group's revenue and row count count item x review pairs;
-    the pairs are counted from per-order key counts, and the two "rank = 1"
-    self-joins become one min_by per state (ties go to the smaller name).
+    the pairs of distinct keys are what the statement groups by, so they are
+    formed, in a grid of ``pieces`` x ``pieces`` tasks for each order; rows
+    behind a key are only counted.  The two "rank = 1" self-joins become one
+    min_by per state (ties go to the smaller name).
 
     ``level="category"`` is the reading the titles suggest: H26's row-level
     measures, and the categories with most revenue and most item x review
@@ -160,13 +177,15 @@ def state_profile_top_categories(t: Tables, level: str = "group") -> DataFrame:
     """
     if level == "category":
         return _state_profile_by_category(t)
-    ik = _translated_priced_items(t).groupBy("order_id", EN, "price", "freight_value").agg(
-        one().alias("n_i"))
+    item_keys = _translated(t, t.items.filter(F.col("price") > 0)
+                            .groupBy("order_id", "product_id", "price", "freight_value")
+                            .agg(one().alias("n_i")))
+    ik = item_keys.groupBy("order_id", EN, "price", "freight_value").agg(F.sum("n_i").alias("n_i"))
     rk = t.reviews.groupBy("order_id", "review_score", "review_answer_timestamp",
                            "review_creation_date").agg(one().alias("n_r"))
     places = _order_places(t, delivered_orders(t.orders)).select("order_id", "customer_state")
     w = F.col("n_i") * F.col("n_r")
-    groups = (ik.join(places, "order_id").join(rk, "order_id")
+    groups = (_paired(ik.join(places, "order_id"), rk, pieces)
               .groupBy("customer_state", EN, "price", "freight_value", "review_score",
                        "review_answer_timestamp", "review_creation_date")
               .agg(F.sum(F.col("price") * w).alias("category_monetary"),
@@ -186,8 +205,10 @@ def state_profile_top_categories(t: Tables, level: str = "group") -> DataFrame:
 
 
 def _state_profile_by_category(t: Tables) -> DataFrame:
-    per = _translated_priced_items(t).groupBy("order_id", EN).agg(
-        one().alias("n_i"), F.sum("price").alias("price_sum"))
+    per = _translated(t, t.items.filter(F.col("price") > 0).groupBy("order_id", "product_id")
+                      .agg(one().alias("n_i"), F.sum("price").alias("price_sum")))
+    per = per.groupBy("order_id", EN).agg(F.sum("n_i").alias("n_i"),
+                                          F.sum("price_sum").alias("price_sum"))
     rv = t.reviews.groupBy("order_id").agg(one().alias("n_r"))
     places = _order_places(t, delivered_orders(t.orders)).select("order_id", "customer_state")
     cats = (per.join(rv, "order_id").join(places, "order_id")

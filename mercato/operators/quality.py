@@ -9,6 +9,8 @@ review per order).  They are lazy; store them with
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +39,9 @@ def items_silver(items: DataFrame, order: Sequence[str] = ITEM_ORDER) -> DataFra
     return first_per_key(items, ["order_id"], [F.col(c).asc_nulls_last() for c in order])
 
 
-def items_negative_price(items_s: DataFrame) -> DataFrame:
-    """Rows with a negative price (expected: none)."""
-    return items_s.filter(F.col("price") < 0)
+def items_negative_price(items_s: DataFrame, below: float = 0) -> DataFrame:
+    """Rows with a price under ``below`` (under 0 expected: none)."""
+    return items_s.filter(F.col("price") < below)
 
 
 def items_null_profile(items_s: DataFrame, columns: Sequence[str] = ("price", "seller_id")) -> DataFrame:
@@ -47,6 +49,11 @@ def items_null_profile(items_s: DataFrame, columns: Sequence[str] = ("price", "s
     return null_profile(items_s, columns)
 
 
+def null_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """D04 / D15 in row form: the rows with a null in any of the columns."""
+    return df.filter(reduce(or_, (F.col(c).isNull() for c in columns)))
+
+
 def items_silver_pk_audit(items_s: DataFrame) -> DataFrame:
     """Is ``order_id`` a key of the silver items?"""
     return key_audit(items_s, "order_id")
@@ -82,9 +89,9 @@ def orders_pk_audit(t: Tables) -> DataFrame:
     return key_audit(t.orders, "order_id")
 
 
-def orders_null_status(t: Tables) -> DataFrame:
-    """Orders without a status (expected: none)."""
-    return t.orders.filter(F.col("order_status").isNull())
+def orders_null_status(t: Tables, column: str = "order_status") -> DataFrame:
+    """Orders without a status (expected: none), or without another column."""
+    return t.orders.filter(F.col(column).isNull())
 
 
 def orders_null_approved(t: Tables) -> DataFrame:

@@ -2,25 +2,30 @@
 
 Per customer: calendar days since the last delivered purchase (as of a
 date), distinct delivered orders, item revenue.  Each measure is scored 1-5
-against its 20/40/60/80 % quantiles (a mergeable sketch; Spark runs the
-three quantile aggregates as one merged scalar subquery), scores are joined
-into a code like ``555`` and mapped to a segment, first matching rule wins.
+against its 20/40/60/80 % quantiles, scores are joined into a code like ``555``
+and mapped to a segment, first matching rule wins.
+
+The quantiles are exact at every size: distinct values are counted, cut into
+value ranges, and the value at a rank is found from the running sums of the
+ranges and, within one range, of its values.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions import as_double, asc, top_k
 from mercato.operators._shared import delivered_orders
 from mercato.sources import Tables
 
-FRACTIONS = (0.2, 0.4, 0.6, 0.8)
-# Relative rank error 1e-5: exact below 100k customers, bounded memory above.
-DEFAULT_ACCURACY = 100_000
+FIFTHS = (1, 2, 3, 4)
+# Value ranges per measure, and the accuracy of the sketch that only balances them.
+RANGES, RANGE_ACCURACY = 200, 2_000
+# For thresholds="sketch": relative rank error 1 / accuracy.
+SKETCH_ACCURACY = 100_000
 
 # Segment labels in rule order, as the reports show them.
 BEST = "En Iyi Müşteri"
@@ -49,14 +54,44 @@ def rfm_metrics(t: Tables, as_of: str | _dt.date | None = None,
                  F.sum("rev").alias("monetary")))
 
 
-def _thresholds(metrics: DataFrame, columns: dict[str, Column], accuracy: int) -> Column:
-    """One scalar subquery: a struct of quantile arrays, one field per measure."""
-    fr = F.array(*[F.lit(f) for f in FRACTIONS])
+def _sketched(metrics: DataFrame, columns: dict[str, Column], accuracy: int) -> Column:
+    """A struct of threshold arrays from mergeable quantile sketches (approximate)."""
+    fr = F.array(*[F.lit(k / 5) for k in FIFTHS])
     return metrics.select(F.struct(*[
         F.percentile_approx(c, fr, accuracy).alias(name) for name, c in columns.items()
     ])).scalar()
 
 
+def exact_thresholds(metrics: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """One row with a struct of threshold arrays, one field per measure: the
+    smallest value with at least k fifths of all rows at or below it."""
+    pairs = F.array(*[F.struct(F.lit(name).alias("m"), c.cast("double").alias("v"))
+                      for name, c in columns.items()])
+    counts = (metrics.select(F.explode(pairs).alias("p")).select("p.m", "p.v")
+              .where("v IS NOT NULL").groupBy("m", "v").agg(F.count(F.lit(1)).alias("n")))
+    # any cut points give the right ranks; these make ranges of like size
+    marks = F.percentile_approx("v", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]),
+                                RANGE_ACCURACY)
+    cuts = counts.groupBy("m").agg(marks.alias("cuts"))  # a row per measure
+    ranged = (counts.join(F.broadcast(cuts), "m")
+              .select("m", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("r")))
+    upto = Window.partitionBy("m").orderBy("r")
+    sums = (ranged.groupBy("m", "r").agg(F.sum("n").alias("s"))
+            .withColumn("end", F.sum("s").over(upto))
+            .withColumn("total", F.sum("s").over(Window.partitionBy("m"))))
+    rank = F.ceil(F.col("total") * F.col("k") / 5)
+    hit = (sums.withColumn("k", F.explode(F.array(*[F.lit(k) for k in FIFTHS])))
+           .withColumn("rank", rank).where("end >= rank AND end - s < rank")
+           .select("m", "r", "k", (F.col("rank") - F.col("end") + F.col("s")).alias("left")))
+    within = Window.partitionBy("m", "k").orderBy("v")
+    found = (ranged.join(F.broadcast(hit), ["m", "r"])
+             .withColumn("run", F.sum("n").over(within)).where(F.col("run") >= F.col("left"))
+             .groupBy("m", "k").agg(F.min("v").alias("v")))
+    pick = lambda name, k: F.min(F.when((F.col("m") == name) & (F.col("k") == k), F.col("v")))
+    return found.agg(F.struct(*[F.array(*[pick(name, k) for k in FIFTHS]).alias(name)
+                                for name in columns]).alias("q"))
+
+
 def _low_is_good(x: Column, q: Column) -> Column:
     return (F.when(x <= q[0], 5).when(x <= q[1], 4).when(x <= q[2], 3)
             .when(x <= q[3], 2).otherwise(1))
@@ -79,11 +114,16 @@ def segment(r: Column, f: Column, m: Column) -> Column:
 
 
 def rfm_scores(t: Tables, as_of: str | _dt.date | None = None, grain: str = "customer_id",
-               accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """The stored customer-score table (one row per ``grain``)."""
+               thresholds: str = "exact", accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """The customer-score table (one row per ``grain``).
+
+    ``thresholds="sketch"`` takes approximate quantiles instead: one pass less,
+    but scores next to a threshold may differ above ``accuracy`` customers."""
     m = rfm_metrics(t, as_of, grain)
     money = F.col("monetary").cast("double")
-    q = _thresholds(m, {"r": F.col("recency"), "f": F.col("frequency"), "m": money}, accuracy)
+    measures = {"r": F.col("recency"), "f": F.col("frequency"), "m": money}
+    q = (_sketched(m, measures, accuracy) if thresholds == "sketch"
+         else exact_thresholds(m, measures).scalar())
     rq, fq, mq = q["r"], q["f"], q["m"]
     r, f, mm = (_low_is_good(F.col("recency"), rq), _high_is_good(F.col("frequency"), fq),
                 _high_is_good(money, mq))

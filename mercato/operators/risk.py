@@ -58,9 +58,10 @@ def approval_latency(t: Tables, k: int = 100, fastest_first: bool = False) -> Da
 
     As written the slowest come first; ``fastest_first=True`` gives the
     order its comment describes.  The first ``k`` rows can only come from
-    the first ``k`` orders (in the same order) that have items, so those
-    candidates, at most ``k`` rows, are found first and broadcast against
-    the items: no item row is shuffled.
+    the first ``k`` orders (in the same order) that have items and a customer,
+    so those candidates, at most ``k`` rows with their city and state, are found
+    first and broadcast against the items: of the items only the distinct order
+    ids are shuffled.
     """
     first = asc if fastest_first else desc
     secs = elapsed_seconds("order_purchase_timestamp", "order_approved_at")
@@ -68,10 +69,10 @@ def approval_latency(t: Tables, k: int = 100, fastest_first: bool = False) -> Da
         "order_id", "customer_id", "order_status", "order_purchase_timestamp",
         "order_approved_at", secs.alias("approval_duration_seconds"))
     with_items = o.join(t.items.select("order_id").distinct(), "order_id", "left_semi")
-    candidates = top_k(with_items, k, [first("approval_duration_seconds"), asc("order_id")])
-    j = (t.items.select("order_id", "price").join(F.broadcast(candidates), "order_id")
-         .join(t.customers.select("customer_id", "customer_city", "customer_state"),
-               "customer_id"))
+    placed = with_items.join(
+        t.customers.select("customer_id", "customer_city", "customer_state"), "customer_id")
+    candidates = top_k(placed, k, [first("approval_duration_seconds"), asc("order_id")])
+    j = t.items.select("order_id", "price").join(F.broadcast(candidates), "order_id")
     out = j.select("order_id", "order_status", "order_purchase_timestamp", "order_approved_at",
                    "approval_duration_seconds", "price", "customer_city", "customer_state")
     return top_k(out, k, [first("approval_duration_seconds"), asc("order_id"), asc("price")])

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mercato.operators import (customers, delivery, geography, quality, rfm, risk, sales,
                                sellers)
@@ -22,20 +23,29 @@ DELAYED_AS_OF = "2001-08-10"
 Report = Callable[[Tables, SparkSession], DataFrame]
 
 
+# Reports read the stored silver and score tables where the bundle has them
+# (see mercato.plans.materialize.with_derived), else the lazy forms.
+
 def _is(t: Tables) -> DataFrame:
-    return quality.items_silver(t.items)
+    return t.items_silver if "items_silver" in t.names() else quality.items_silver(t.items)
 
 
 def _os(t: Tables) -> DataFrame:
-    return quality.orders_silver(t.orders)
+    return t.orders_silver if "orders_silver" in t.names() else quality.orders_silver(t.orders)
 
 
 def _rs(t: Tables) -> DataFrame:
-    return quality.reviews_silver(t.reviews)
+    return t.reviews_silver if "reviews_silver" in t.names() else quality.reviews_silver(t.reviews)
 
 
 def _scores(t: Tables) -> DataFrame:
-    return rfm.rfm_scores(t, as_of=RFM_AS_OF)
+    return t.scores if "scores" in t.names() else rfm.rfm_scores(t, as_of=RFM_AS_OF)
+
+
+def _with_repeats(t: Tables) -> DataFrame:
+    """Orders with every tenth one twice and every thirtieth three times."""
+    o, k = t.orders, F.col("order_id")
+    return o.unionAll(o.filter(k % 10 == 0)).unionAll(o.filter(k % 30 == 0))
 
 
 REPORTS: dict[str, Report] = {
@@ -50,20 +60,31 @@ REPORTS: dict[str, Report] = {
     "scan_sellers": lambda t, s: t.sellers,
     # D01-D18 data quality
     "items_key_count": lambda t, s: quality.items_key_count(t),
-    "items_silver": lambda t, s: _is(t),
+    "items_silver": lambda t, s: quality.items_silver(t.items),
+    "items_silver_stored": lambda t, s: _is(t),
     "items_negative_price": lambda t, s: quality.items_negative_price(_is(t)),
+    # the same statement with a bound that fits the stand-in prices
+    "items_low_price": lambda t, s: quality.items_negative_price(_is(t), below=2000),
+    "items_null_rows": lambda t, s: quality.null_rows(_is(t), ("price", "seller_id")),
     "items_null_profile": lambda t, s: quality.items_null_profile(_is(t)),
     "items_silver_pk_audit": lambda t, s: quality.items_silver_pk_audit(_is(t)),
     "items_istanbul_date": lambda t, s: quality.items_local_date(_is(t)),
     "orders_duplicate_rows": lambda t, s: quality.orders_duplicate_rows(t.orders),
+    "orders_duplicate_rows_repeated": lambda t, s: quality.orders_duplicate_rows(_with_repeats(t)),
     "orders_pk_audit": lambda t, s: quality.orders_pk_audit(t),
     "orders_null_status": lambda t, s: quality.orders_null_status(t),
+    "orders_null_delivery": lambda t, s: quality.orders_null_status(
+        t, column="order_delivered_customer_date"),
     "orders_null_approved": lambda t, s: quality.orders_null_approved(t),
-    "orders_silver": lambda t, s: _os(t),
+    "orders_silver": lambda t, s: quality.orders_silver(t.orders),
+    "orders_silver_stored": lambda t, s: _os(t),
     "orders_approved_label": lambda t, s: quality.orders_approved_label(t),
     "reviews_key_count": lambda t, s: quality.reviews_key_count(t),
     "reviews_duplicate_profile": lambda t, s: quality.reviews_duplicate_profile(t),
-    "reviews_silver": lambda t, s: _rs(t),
+    "reviews_silver": lambda t, s: quality.reviews_silver(t.reviews),
+    "reviews_silver_stored": lambda t, s: _rs(t),
+    "reviews_null_rows": lambda t, s: quality.null_rows(
+        _rs(t), ("order_id", "review_score", "review_creation_date", "review_answer_timestamp")),
     "reviews_null_profile": lambda t, s: quality.reviews_null_profile(_rs(t)),
     "reviews_silver_pk_audit": lambda t, s: quality.reviews_silver_pk_audit(_rs(t)),
     "customers_pk_audit": lambda t, s: quality.customers_pk_audit(t),
@@ -128,8 +149,9 @@ REPORTS: dict[str, Report] = {
     "overall_review_score": lambda t, s: delivery.overall_review_score(t),
     "category_satisfaction": lambda t, s: delivery.category_satisfaction(t),
     # RFM
-    "rfm_scores": lambda t, s: _scores(t).select(
+    "rfm_scores": lambda t, s: rfm.rfm_scores(t, as_of=RFM_AS_OF).select(
         "customer_id", "recency", "frequency", "monetary", "r_score", "f_score", "m_score"),
-    "rfm_segments": lambda t, s: _scores(t),
+    "rfm_segments": lambda t, s: rfm.rfm_scores(t, as_of=RFM_AS_OF),
+    "rfm_scores_stored": lambda t, s: _scores(t),
     "best_customer_payments": lambda t, s: rfm.best_customer_payments(_scores(t), t),
 }

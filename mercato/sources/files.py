@@ -1,12 +1,17 @@
 """Reading the original export and storing / re-reading derived tables.
 
 S1 full scans of named tables, S3 create-or-replace sinks, S4 read-back of a
-stored result.  Paths are folders on shared storage; writes are atomic per
-job (Spark's committer), so a lost executor only re-runs its tasks.
+stored result.  Paths are folders on storage that the driver and all executors
+share.  A stored table is a folder of versions: each write makes a new version
+and, once it is complete, points the file ``_current`` at it.  A failed
+write leaves the table as it was, and a plan that reads a version keeps its
+files when the table is replaced, even by itself.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.sources.schema import SOURCE_SCHEMAS, check_contract
@@ -14,6 +19,7 @@ from mercato.sources.tables import Tables
 
 TABLE_NAMES = ("customers", "orders", "items", "payments", "reviews",
                "products", "translation", "sellers")
+POINTER = "_current"
 
 
 def read_export(spark: SparkSession, folder: str, fmt: str = "parquet",
@@ -36,14 +42,77 @@ def read_export(spark: SparkSession, folder: str, fmt: str = "parquet",
     return Tables(**frames)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(path, its file system) of any store Spark can reach."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the published version of a stored table, if any."""
+    pointer, fs = _hadoop(spark, f"{path}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return f"{path}/{stream.readUTF()}"
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, version: str) -> None:
+    new, fs = _hadoop(spark, f"{path}/{POINTER}.{version}")
+    stream = fs.create(new, True)
+    try:
+        stream.writeUTF(version)
+    finally:
+        stream.close()
+    pointer, _ = _hadoop(spark, f"{path}/{POINTER}")
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    overwrite = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.makeQualified(new).toUri(), spark._jsc.hadoopConfiguration()).rename(
+            fs.makeQualified(new), fs.makeQualified(pointer), overwrite)
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """S3: create-or-replace a stored table (parquet folder)."""
-    writer = df.write.mode("overwrite")
+    """S3: create or replace a stored table; readers see it once it is whole."""
+    version = f"v-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    writer.parquet(f"{path}/{version}")
+    _publish(df.sparkSession, path, version)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read back a table stored by :func:`write_table`."""
-    return spark.read.parquet(path)
+    """Read back the current version of a stored table (or a plain folder)."""
+    return spark.read.parquet(current_version(spark, path) or path)
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> int:
+    """Delete all versions but the current one; nothing may still read them."""
+    folder, fs = _hadoop(spark, path)
+    current, gone = current_version(spark, path), 0
+    if current is None:
+        return 0
+    for entry in fs.listStatus(folder):
+        name = entry.getPath().getName()
+        if name.startswith("v-") and name != current.rsplit("/", 1)[1]:
+            fs.delete(entry.getPath(), True)
+            gone += 1
+    return gone
+
+
+def input_state(spark: SparkSession, paths: list[str]) -> str:
+    """Names, lengths and modification times of the files under ``paths``: equal as
+    long as the inputs are."""
+    seen = []
+    for path in paths:
+        p, fs = _hadoop(spark, path)
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return "|".join(sorted(seen))

@@ -1,9 +1,13 @@
-"""Store source tables once and read them back.
+"""Store tables once and read them back.
 
-The folder should be shared storage (the session's ``spark.checkpoint.dir``
+The folder must be shared storage (the session's ``spark.checkpoint.dir``
 by default): the stored tables cut the lineage back to the raw files, so a
 lost executor re-reads stored files instead of recomputing the sources.
 
+A table is stored when it is first used.  Its place is named by the state of
+the input files and by the code that derives it, so a change of either is a
+new table and never an old copy.
+
 By default the tables are plain parquet.  With ``buckets=n`` the fact
 tables (orders, items, payments, reviews) are bucketed on ``order_id`` and
 customers on ``customer_id``: joins between facts and per-order aggregates
@@ -17,73 +21,58 @@ is why bucketing is opt-in.
 from __future__ import annotations
 
 import hashlib
-import os
-from collections.abc import Callable
+import inspect
+import sys
+from collections.abc import Iterable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.session import ensure_checkpoint_dir
-from mercato.sources.files import read_table, write_table
-from mercato.sources.tables import Tables
+from mercato.sources.files import current_version, read_table, write_table
+from mercato.sources.tables import LazyTables, Tables
 
-# Read-back bundles per (application, folder, tag): listing the files and
-# reading the parquet footers happens once per session, not per report.
-_READ_BACK: dict[tuple[str, str, str], Tables] = {}
+# Read-back frames per (application, path): listing the files and reading
+# the parquet footers happens once per session, not per report.
+_READ_BACK: dict[tuple[str, str], DataFrame] = {}
 
 BUCKET_KEYS = {"orders": "order_id", "items": "order_id", "payments": "order_id",
                "reviews": "order_id", "customers": "customer_id"}
 
 
-def _tag(text: str) -> str:
-    return hashlib.sha1(text.encode()).hexdigest()[:10]
-
+def code_state(modules: Iterable[str]) -> str:
+    """A hash of the source text of modules, wherever they are loaded from."""
+    text = "".join(inspect.getsource(sys.modules[m]) for m in sorted(modules))
+    return hashlib.sha1(text.encode()).hexdigest()
 
-def _complete(spark: SparkSession, path: str) -> bool:
-    """Did a write to ``path`` finish (``_SUCCESS`` present)?  Any file
-    system Spark can write to (local, HDFS, object stores)."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
+def stage_tables(spark: SparkSession, tables: Tables | LazyTables, state: str,
+                 folder: str | None = None, buckets: int | None = None) -> LazyTables:
+    """S3 + S4: a bundle that stores each table of ``tables`` when it is first
+    used and reads it back.
 
-def stage_tables(spark: SparkSession, tables: Tables | Callable[[], Tables], source_id: str,
-                 folder: str | None = None, buckets: int | None = None,
-                 version: str = "") -> Tables:
-    """S3 + S4: write each table under ``folder`` once and return a bundle
-    that reads the stored tables.
-
-    ``tables`` may be a function building the bundle; it is only called
-    when something has to be written.  ``source_id`` and ``version`` (e.g. a
-    hash of the code that derives the tables) name the stored copy, so a
-    finished copy (``_SUCCESS``) is reused and a changed derivation is
-    written anew.  Plain parquet folders need no catalog; bucketed tables
-    are registered in the session catalog (bucketing lives there).
+    ``state`` stands for everything the tables depend on (see
+    :func:`mercato.sources.files.input_state` and :func:`code_state`); a
+    complete copy stored for the same state is reused.  Plain parquet folders
+    need no catalog; bucketed tables are registered in the session catalog.
     """
-    folder = folder or os.path.join(ensure_checkpoint_dir(spark), "mercato-stage")
-    tag = _tag(f"{source_id}|{buckets or 0}|{version}")
-    memo = (spark.sparkContext.applicationId, folder, tag)
-    if memo in _READ_BACK:
+    base = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/mercato-stage"
+    tag = hashlib.sha1(f"{state}|{buckets or 0}".encode()).hexdigest()[:16]
+
+    def stage(name: str) -> DataFrame:
+        path, key = f"{base}/{tag}/{name}", BUCKET_KEYS.get(name)
+        memo = (spark.sparkContext.applicationId, path)
+        if memo not in _READ_BACK:
+            if key and buckets:
+                table = f"mercato_{tag}_{name}"
+                if not spark.catalog.tableExists(table):
+                    (getattr(tables, name).write.mode("overwrite").format("parquet")
+                     .option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+                _READ_BACK[memo] = spark.table(table)
+            else:
+                if current_version(spark, path) is None:
+                    write_table(getattr(tables, name), path)
+                _READ_BACK[memo] = read_table(spark, path)
         return _READ_BACK[memo]
-    out: dict[str, DataFrame] = {}
-    source: Tables | None = tables if isinstance(tables, Tables) else None
-
-    def build() -> Tables:
-        nonlocal source
-        if source is None:
-            source = tables()
-        return source
-
-    for name in Tables.__dataclass_fields__:
-        path = f"{folder}/{tag}/{name}"
-        key = BUCKET_KEYS.get(name)
-        if key and buckets:
-            table = f"mercato_{tag}_{name}"
-            if not spark.catalog.tableExists(table):
-                (getattr(build(), name).write.mode("overwrite").format("parquet")
-                 .option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table))
-            out[name] = spark.table(table)
-        else:
-            if not _complete(spark, path):
-                write_table(getattr(build(), name), path)
-            out[name] = read_table(spark, path)
-    _READ_BACK[memo] = Tables(**out)
-    return _READ_BACK[memo]
+
+    return LazyTables({name: partial(stage, name) for name in tables.names()})

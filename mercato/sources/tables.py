@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields, replace
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -27,3 +29,33 @@ class Tables:
     def with_(self, **frames: DataFrame) -> "Tables":
         """Copy with some tables swapped (e.g. silver items for raw ones)."""
         return replace(self, **frames)
+
+
+class LazyTables:
+    """A bundle whose tables are made when first asked for.
+
+    Offers what :class:`Tables` offers.  It may also hold derived tables
+    under further names; ``names`` tells which.
+    """
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers = dict(makers)
+        self._made: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._makers:
+            raise AttributeError(name)
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def names(self) -> list[str]:
+        return list(self._makers)
+
+    def with_(self, **frames: DataFrame) -> "LazyTables":
+        own = {n: partial(getattr, self, n) for n in self._makers}
+        return LazyTables(own | {n: (lambda f=f: f) for n, f in frames.items()})
+
+    def deriving(self, **makers: Callable[[], DataFrame]) -> "LazyTables":
+        """Copy with further tables, or other makers of the same."""
+        return LazyTables({n: partial(getattr, self, n) for n in self._makers} | makers)

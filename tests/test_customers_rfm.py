@@ -71,6 +71,8 @@ def test_delayed_orders(spark):
     assert [(r.order_id, r.days_since_purchase, r.avg_delivery_days) for r in got] == [
         ("s_old", 30, 10.0)]
     sql = delivery.delayed_orders_sql(spark, t, "2018-01-31").collect()
+    today = delivery.delayed_orders_sql(spark, t).collect()
+    assert sorted(today) == sorted(delivery.delayed_orders(t).collect()) and today
     assert [(r.order_id, r.days_since_purchase) for r in sql] == [("s_old", 30)]
 
 
@@ -136,3 +138,36 @@ def test_best_customer_payments(spark):
     got = rfm.best_customer_payments(scores, t).collect()
     assert sorted((r.customer_id, r.order_id, r.payment_type) for r in got) == [
         ("c5", "o5", "boleto"), ("c5", "o5", "voucher")]
+
+
+def test_clv_is_ordered(spark):
+    t = make_tables(spark, orders=[order(f"o{i}", f"c{i}", approved="2018-01-02 00:00:00")
+                                   for i in range(5)],
+                    items=[item(f"o{i}", 1, price=[3, 9, 9, 1, 5][i]) for i in range(5)])
+    rows = customers.customer_lifetime_value(t.items, t.orders).collect()
+    assert [r.customer_id for r in rows] == ["c1", "c2", "c4", "c0", "c3"]
+
+
+def test_thresholds_are_exact_at_any_size(spark):
+    """Above 100 000 rows, with repeated, skewed and negative values, against a sort."""
+    n = 150_000
+    df = spark.range(n).selectExpr("(id * 7919) % 150000 AS a", "id % 3 AS b",
+                                   "exp(((id * 31) % 150000) / 9000.0) AS c", "-(id % 1000) AS d")
+    cols = {c: F.col(c) for c in "abcd"}
+    q = rfm.exact_thresholds(df, cols).first().q
+    for c in "abcd":
+        values = sorted(r[0] for r in df.select(F.col(c).cast("double")).collect())
+        assert list(q[c]) == [values[-(-k * n // 5) - 1] for k in (1, 2, 3, 4)], c
+
+
+def test_thresholds_of_few_rows(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (None,)], "a double")
+    assert list(rfm.exact_thresholds(df, {"a": F.col("a")}).first().q["a"]) == [1.0, 1.0, 2.0, 2.0]
+
+
+def test_sketch_is_an_option(spark):
+    t = make_tables(spark, orders=[order(f"o{i}", f"c{i}") for i in range(20)],
+                    items=[item(f"o{i}", 1, price=i + 1) for i in range(20)])
+    exact, sketch = (rfm.rfm_scores(t, as_of="2018-02-01", thresholds=how).collect()
+                     for how in ("exact", "sketch"))
+    assert sorted(exact) == sorted(sketch)

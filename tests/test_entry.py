@@ -16,7 +16,9 @@ def test_keys_match():
 
 
 def test_stand_in_tables_meet_contracts(spark, sf_dir):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
     t = stand_in_tables(spark, sf_dir)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
     assert t.translation.count() == 71
 
 

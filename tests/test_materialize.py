@@ -1,7 +1,12 @@
 import tempfile
 
+import pytest
+
 from mercato.operators import quality, rfm, sales
 from mercato.plans.materialize import store_scores, store_silver
+from mercato.sources import LazyTables, read_table, write_table
+from mercato.sources.files import drop_old_versions, input_state
+from mercato.sources.staging import stage_tables
 from tests.fixtures import item, make_tables, order, review
 
 
@@ -20,3 +25,51 @@ def test_store_and_read_back_silver_and_scores(spark):
     scores = rfm.rfm_scores(t, as_of="2018-02-01")
     back = store_scores(spark, scores, folder)
     assert sorted(back.collect()) == sorted(scores.collect())
+
+
+def _items(spark, price):
+    return make_tables(spark, orders=[order("o1")], items=[item("o1", 1, price=price)])
+
+
+def test_stored_bundles_keep_their_data(spark):
+    a, b = (store_silver(spark, _items(spark, p)) for p in (3, 4))
+    assert [float(t.items.first().price) for t in (a, b)] == [3.0, 4.0]
+    again = store_silver(spark, a)
+    assert float(again.items.first().price) == float(a.items.first().price) == 3.0
+
+
+def test_replacing_a_table_keeps_its_readers(spark):
+    folder = tempfile.mkdtemp(prefix="mercato-test-")
+    first = store_silver(spark, _items(spark, 3), folder)
+    second = store_silver(spark, _items(spark, 4), folder)
+    own = store_silver(spark, second, folder)  # reads what it replaces
+    assert [float(t.items.first().price) for t in (first, second, own)] == [3.0, 4.0, 4.0]
+    path = f"{folder}/items_silver"
+    assert drop_old_versions(spark, path) == 2
+    assert float(read_table(spark, path).first().price) == 4.0
+
+
+def test_failed_write_leaves_the_table(spark):
+    folder = tempfile.mkdtemp(prefix="mercato-test-")
+    write_table(spark.range(3), f"{folder}/t")
+    with pytest.raises(Exception):
+        write_table(spark.range(5).selectExpr("assert_true(id < 2) AS x", "id"), f"{folder}/t")
+    assert read_table(spark, f"{folder}/t").count() == 3
+
+
+def test_changed_input_is_staged_anew(spark):
+    source, folder = (tempfile.mkdtemp(prefix="mercato-test-") for _ in range(2))
+    made = []
+
+    def tables():
+        made.append(1)
+        return LazyTables({"items": lambda: spark.read.parquet(f"{source}/in"),
+                           "never": lambda: pytest.fail("not asked for")})
+
+    counts = []
+    for n in (2, 2, 5):
+        if n == 5 or not counts:
+            spark.range(n).write.mode("overwrite").parquet(f"{source}/in")
+        state = input_state(spark, [f"{source}/in"])
+        counts.append(stage_tables(spark, tables(), state, folder).items.count())
+    assert counts == [2, 2, 5]

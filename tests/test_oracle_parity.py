@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.parity import compare, duck
 
-QUERIES = entry.queries()
+QUERIES = entry.REPORTS
 ORACLE = entry.oracle_sql()
 
 

@@ -135,3 +135,34 @@ def test_state_profile_category_level(spark):
     h26 = geography.state_service_profile(t).first()
     assert (by_cat.total_price, by_cat.avg_score) == (h26.total_price, h26.avg_score) == (
         118.0, 3.5)
+
+
+def test_approval_latency_without_a_customer_row(spark):
+    """A slow order without a customer takes no candidate's place; ties at k go by id."""
+    slow = [("o1", "gone", "2018-01-09 10:00:00"), ("o2", "c1", "2018-01-05 10:00:00"),
+            ("o3", "c3", "2018-01-05 10:00:00"), ("o4", "c1", "2018-01-02 10:00:00")]
+    t = _geo(spark, orders=[order(o, c, approved=a) for o, c, a in slow],
+             items=[item(o, 1, price=5) for o, _, _ in slow])
+    assert [r.order_id for r in risk.approval_latency(t, k=2).collect()] == ["o2", "o3"]
+    assert [r.order_id for r in risk.approval_latency(t, k=2, fastest_first=True).collect()] == [
+        "o4", "o2"]
+    hot = _geo(spark, orders=[order("o1", "c1", approved="2018-01-03 10:00:00"),
+                              order("o2", "c3", approved="2018-01-02 10:00:00")],
+               items=[item("o1", n, price=n) for n in range(1, 200)] + [item("o2", 1)])
+    assert [float(r.price) for r in risk.approval_latency(hot, k=3).collect()] == [1.0, 2.0, 3.0]
+    plan = risk.approval_latency(hot, k=3)._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning(customer_id" in line and "price" in line
+                   for line in plan.splitlines())
+
+
+def test_a_large_order_is_paired_in_many_tasks(spark):
+    t = _geo(spark, orders=[order("o1", "c1")],
+             items=[item("o1", n, pid="p1", price=n, freight=1) for n in range(1, 60)],
+             reviews=[review(f"r{n}", "o1", 1 + n % 5, answered=f"2018-01-{10 + n % 15} 00:00:00")
+                      for n in range(40)])
+    one, grid = (geography.state_profile_top_categories(t, pieces=p).collect() for p in (1, 4))
+    assert one == grid
+    left = spark.range(1000).selectExpr("'o' AS order_id", "id AS a")
+    right = spark.range(1000).selectExpr("'o' AS order_id", "id AS b")
+    pairs = geography._paired(left, right, 4)
+    assert pairs.count() == 1_000_000

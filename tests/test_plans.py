@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from mercato.plans.inspect import explain_text, has_python, unpartitioned_windows
 
-QUERIES = entry.queries()
+QUERIES = {name: entry.queries()[name] for name in entry.REPORTS}
 
 # The only windows without PARTITION BY run over one row per category.
 GLOBAL_WINDOW_OK = {"category_leaders"}
@@ -42,7 +42,7 @@ def test_bucketed_staging_removes_the_shuffle(spark, sf_dir):
     from mercato.operators import quality
     from mercato.sources import stand_in_tables
     from mercato.sources.staging import stage_tables
-    t = stage_tables(spark, lambda: stand_in_tables(spark, sf_dir), f"{sf_dir}#b", buckets=8)
+    t = stage_tables(spark, stand_in_tables(spark, sf_dir), f"{sf_dir}#b", buckets=8)
     for df in (quality.items_silver(t.items), quality.reviews_silver(t.reviews)):
         text = explain_text(df)
         assert "WindowGroupLimit" in text and "Exchange (" not in text
@@ -89,3 +89,24 @@ def test_rfm_thresholds_run_once(spark, sf_dir):
     executed = [l for l in text.splitlines()
                 if l.startswith("Subquery:") and "ReusedSubquery" not in l]
     assert len(executed) == 1, executed
+
+
+def test_reports_read_stored_tables(spark, sf_dir):
+    """Reports over the silver items carry no de-duplication, H24 no quantile step."""
+    for name in ("aov_monthly", "category_revenue", "customer_lifetime_value",
+                 "top_category_per_city", "delivery_days_by_state"):
+        assert "WindowGroupLimit" not in _plan(spark, sf_dir, name), name
+    text = _plan(spark, sf_dir, "best_customer_payments")
+    assert "Subquery" not in text and "percentile" not in text
+
+
+def test_facts_are_reduced_before_product_and_order_shuffles(spark, sf_dir):
+    """Every exchange above a scan of items or reviews follows a partial aggregate
+    or is a semi join's distinct key."""
+    for name in ("state_service_profile", "state_profile_top_categories", "delivery_days_by_state",
+                 "delivery_days_by_category", "score_vs_delays"):
+        lines = explain_text(QUERIES[name](spark, sf_dir), "simple").splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning" in line and ("price" in "".join(lines[i:i + 6])
+                                                        and "FileScan" in "".join(lines[i:i + 4])):
+                assert "HashAggregate" in "".join(lines[i:i + 3]), (name, lines[i:i + 4])
