@@ -5,8 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from tests.parity import compare, duck
 
-QUERIES = entry.REPORTS
-ORACLE = entry.oracle_sql()
+QUERIES = {name: entry.queries()[name] for name in entry.REPORTS}
+ORACLE = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
