@@ -40,7 +40,7 @@ from mercato.llm.decontaminate import _word_array, spaced_words
 #: chi-square a term needs; examples in a block.
 MAX_EXAMPLES, MAX_TERMS, MIN_CHI2, BLOCK = 6_000, 3_000, 25.0, 64
 #: Lengths of the word beginnings that are terms beside whole words.
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 NEIGHBOURS = 15
 
 
