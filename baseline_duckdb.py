@@ -21,7 +21,7 @@ import oracle_queries
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 VIEWS = ("customers_v orders_v items_v payments_v reviews_v products_v translation_v sellers_v "
-         "items_s orders_s reviews_s").split()
+         "items_s orders_s reviews_s sale review rated").split()
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
