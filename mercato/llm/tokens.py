@@ -12,9 +12,9 @@ document index (ids, null flags, token counts); the chunk index; the tail
 chunks, planes, block size, ``MAGIC``).  A chunk's entry is its offset, number
 of ids, crc32 of the ids and the size of each plane.
 
-The tokenizer sees each distinct white-space separated piece of a batch once:
-it drops white space and never merges across it, so a text's ids are its
-pieces' ids in a row.
+The tokenizer sees each distinct white-space separated piece of a batch at most
+once: it drops white space and never merges across it, so a text's ids are its
+pieces' ids in a row.  Capitals and a mark after a word do not make new pieces.
 
 Defined cases: null text is empty; each document ends with ``end_id``, so an
 empty one has one token; null ids sort first; repeated rows and ties keep one
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -42,6 +43,8 @@ from mercato.llm.common import chunks, file_system, ragged, shared_folder, store
 MAGIC = b"MPLANES1"
 TAIL = "<QQQQQQII8s"
 BLOCK_IDS = 65_536
+#: Pieces whose ids a worker process remembers, at most (about 50 MB).
+KNOWN_PIECES = 1_000_000
 
 
 def split_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -168,31 +171,85 @@ class Reader:
             at += n
 
 
-def load_tokenizer(path: str):
-    """The tokenizer of a file, loaded once in each worker process."""
+class Pieces:
+    """The ids of white-space separated pieces, as one flat array with a start and
+    a size for each.  Up to KNOWN_PIECES are remembered: frequent ones come first, rare
+    ones are encoded when met."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.names = pa.array([], pa.binary())
+        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
+
+    def _find(self, names: pa.Array) -> np.ndarray:
+        return pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False)
+
+    @staticmethod
+    def _stem(piece: str) -> tuple[str, str]:
+        """A piece without a mark after its letters, and the mark: the tokenizer always
+        cuts between a letter and a mark, and it lower-cases letters itself."""
+        stem, mark = piece, ""
+        if len(piece) > 1 and piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            stem, mark = piece[:-1], piece[-1]
+        return (stem.lower() if stem.isascii() and stem.isalpha() else stem), mark
+
+    def _encoded(self, pieces: list[str]) -> list[list[int]]:
+        stems = [self._stem(p) for p in pieces]
+        parts = list(dict.fromkeys(x for pair in stems for x in pair if x))
+        at = self._find(pa.array(parts, pa.string()).cast(pa.binary()))
+        ids = {p: self.flat[self.start[k]:self.start[k] + self.size[k]].tolist()
+               for p, k in zip(parts, at.tolist()) if k >= 0}
+        new = [p for p in parts if p not in ids]
+        ids |= zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(
+            new, add_special_tokens=False)))
+        return [ids[stem] + ids[mark] if mark else ids[stem] for stem, mark in stems]
+
+    def look(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, flat ids) of distinct pieces."""
+        at = self._find(names)
+        missing = np.flatnonzero(at < 0)
+        start, size = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        start[at >= 0], size[at >= 0] = self.start[at[at >= 0]], self.size[at[at >= 0]]
+        if not len(missing):
+            return start, size, self.flat
+        new = names.take(pa.array(missing))
+        found = self._encoded(new.cast(pa.string()).to_pylist())
+        size[missing] = [len(f) for f in found]
+        start[missing] = len(self.flat) + np.cumsum(size[missing]) - size[missing]
+        flat = np.concatenate([self.flat, np.array([i for f in found for i in f], np.uint32)])
+        if len(self.names) + len(new) <= KNOWN_PIECES:
+            self.names = pa.concat_arrays([self.names, new])
+            self.start = np.concatenate([self.start, start[missing]])
+            self.size = np.concatenate([self.size, size[missing]])
+            self.flat = flat
+        return start, size, flat
+
+
+def load_pieces(path: str) -> Pieces:
+    """The tokenizer of a file with the pieces it has encoded, kept in each worker process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tokenizers
-    known = tokenizers.__dict__.setdefault("_mercato_loaded", {})
-    if path not in known:
-        known[path] = tokenizers.Tokenizer.from_file(path)
-    return known[path]
+    loaded = tokenizers.__dict__.setdefault("_mercato_pieces", {})
+    if path not in loaded:
+        loaded[path] = Pieces(tokenizers.Tokenizer.from_file(path))
+    return loaded[path]
 
 
-def encode(texts: list[bytes], tokenizer, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: list[bytes], pieces: Pieces, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of each text and the end id, all in a row; number of ids of each)."""
-    pieces = [t.split() for t in texts]
-    n = np.array([len(p) for p in pieces], np.int64)
-    coded = pa.array([w for p in pieces for w in p], pa.binary()).dictionary_encode()
-    distinct = coded.dictionary.cast(pa.string()).to_pylist()
-    found = [e.ids for e in tokenizer.encode_batch(distinct, add_special_tokens=False)]
-    size = np.array([len(f) for f in found], np.int64)
-    flat = np.array([i for f in found for i in f], np.uint32)
-    at = np.cumsum(size) - size
+    spaced = [b" ".join(words) + b" " if (words := t.split()) else b"" for t in texts]
+    n = np.array([s.count(b" ") for s in spaced], np.int64)
+    buf = b"".join(spaced)
+    ends = np.flatnonzero(np.frombuffer(buf, np.uint8) == 32)
+    begin = np.concatenate([np.zeros(1, np.int64), ends + 1])
+    words = pa.Array.from_buffers(pa.binary(), len(ends), [
+        None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(buf)])  # each with its space
+    coded = words.dictionary_encode()
     which = coded.indices.to_numpy(zero_copy_only=False)
-    piece_ids = size[which]
-    doc = np.repeat(np.arange(len(texts)), n)
-    sizes = np.bincount(doc, piece_ids, len(texts)).astype(np.int64)
-    ids = flat[ragged(at[which], piece_ids)] if len(which) else np.empty(0, np.uint32)
+    start, size, flat = pieces.look(pc.binary_slice(coded.dictionary, 0, -1))
+    sizes = np.bincount(np.repeat(np.arange(len(texts)), n), size[which], len(texts)).astype(np.int64)
+    ids = flat[ragged(start[which], size[which])]
     return np.insert(ids, np.cumsum(sizes), np.uint32(end_id)), sizes + 1
 
 
@@ -216,7 +273,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, e
                 out = fs.open_output_stream(path)
                 writer = Writer(out, block_ids, bits)
             for a, b in chunks([len(t) for t in texts], 8 << 20):
-                ids, sizes = encode(texts[a:b], load_tokenizer(tokenizer_path), end_id)
+                ids, sizes = encode(texts[a:b], load_pieces(tokenizer_path), end_id)
                 writer.add(doc_ids[a:b], sizes, ids)
         if writer is not None:
             n_docs, n_ids, size = writer.close()
