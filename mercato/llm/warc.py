@@ -41,8 +41,9 @@ from mercato.llm.common import file_system, shared_folder, stored
 
 #: Captures in a block of a run; an archive file is closed beyond these.
 BLOCK_LINES, FILE_BYTES, FILE_RECORDS = 1_000, 256 << 20, 100_000
-#: Key ranges of one merge pass, at most, and captures a range should hold.
-MAX_RANGES, RANGE_LINES = 4_096, 50_000
+#: Key ranges of one merge pass, at most, captures a range should hold, and blocks sampled
+#: to choose the ranges.
+MAX_RANGES, RANGE_LINES, SAMPLE_BLOCKS = 4_096, 50_000, 65_536
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 BLOCKS = "run string, first string, last string, n long, path string, at long, size long"
@@ -236,19 +237,22 @@ def _lines(fs, blocks: list[tuple[str, int, int]], low: str, high: str | None) -
         yield from part[start:end]
 
 
-def _merge_pass(blocks: DataFrame, n_groups: int, folder: str, range_lines: int,
+def _merge_pass(blocks: DataFrame, folder: str, range_lines: int,
                 block_lines: int) -> DataFrame:
     """Merge the runs of each group into one run, range by range."""
     spark = blocks.sparkSession
-    total = blocks.agg(F.sum("n")).first()[0] or 0
-    width = max(range_lines, -(-total // MAX_RANGES))
-    order = Window.partitionBy("group").orderBy("first", "run", "at")
-    cuts = (blocks.withColumn("range", F.floor((F.sum("n").over(order) - F.col("n")) / width))
-            .groupBy("group", "range").agg(F.min("first").alias("low")))
-    bounds: dict[int, list[str]] = {}
-    for r in cuts.where("range > 0").collect():  # at most MAX_RANGES rows
-        bounds.setdefault(r.group, []).append(r.low)
-    bounds = {g: sorted(set(lows)) for g, lows in bounds.items()}
+    totals = {r.group: r.n for r in blocks.groupBy("group").agg(F.sum("n").alias("n")).collect()}
+    width = max(range_lines, -(-sum(totals.values()) // MAX_RANGES))
+    # bounds of about equal ranges, from a sample of the blocks; any bounds give the same index
+    sample: dict[int, list[str]] = {}
+    for r in (blocks.select("group", "first").orderBy(F.xxhash64("run", "first", "at"))
+              .limit(SAMPLE_BLOCKS).collect()):
+        sample.setdefault(r.group, []).append(r.first)
+    bounds = {}
+    for group, keys in sample.items():
+        ranges, keys = max(1, totals[group] // width), sorted(set(keys))
+        picked = {keys[k * len(keys) // ranges] for k in range(1, ranges)}
+        bounds[group] = sorted(picked - {keys[0]})
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -299,7 +303,7 @@ def merge_runs(blocks: DataFrame, folder: str, fan_in: int = 64, range_lines: in
         # one row for each run
         number = runs.withColumn("group", F.floor((F.row_number().over(Window.orderBy("run")) - 1)
                                                   / fan_in).cast("long"))
-        blocks = _merge_pass(blocks.join(number, "run"), n_groups, folder, range_lines, block_lines)
+        blocks = _merge_pass(blocks.join(number, "run"), folder, range_lines, block_lines)
         if n_groups == 1:
             return blocks
 
@@ -307,10 +311,14 @@ def merge_runs(blocks: DataFrame, folder: str, fan_in: int = 64, range_lines: in
 def read_index(blocks: DataFrame, folder: str) -> DataFrame:
     """(position, key, time, url, page, type, filename, offset, length): the captures in
     global order."""
-    before = Window.orderBy("first", "at").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each block of captures
-    placed = stored(blocks.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))),
-                    "warc-placed")
+    # a file holds one key range: sums over files (at most MAX_RANGES rows), then within each
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    files = (blocks.groupBy("path").agg(F.sum("n").alias("n"), F.min("first").alias("low"))
+             .withColumn("base", F.coalesce(F.sum("n").over(earlier(Window.orderBy("low"))), F.lit(0))))
+    own = F.sum("n").over(earlier(Window.partitionBy("path").orderBy("at")))
+    placed = stored(blocks.withColumn("own", F.coalesce(own, F.lit(0)))
+                    .join(files.select("path", "base"), "path")
+                    .withColumn("start", F.col("base") + F.col("own")), "warc-placed")
     schema = pa.schema([("position", pa.int64()), ("key", pa.string()), ("time", pa.string()),
                         ("url", pa.string()), ("page", pa.int64()), ("type", pa.string()),
                         ("filename", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
