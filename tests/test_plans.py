@@ -94,7 +94,7 @@ def test_rfm_thresholds_run_once(spark, sf_dir):
 def test_reports_read_stored_tables(spark, sf_dir):
     """Reports over the silver items carry no de-duplication, H24 no quantile step."""
     for name in ("aov_monthly", "category_revenue", "customer_lifetime_value",
-                 "top_category_per_city", "delivery_days_by_state"):
+                 "revenue_by_customer_state", "delivery_days_by_state"):
         assert "WindowGroupLimit" not in _plan(spark, sf_dir, name), name
     text = _plan(spark, sf_dir, "best_customer_payments")
     assert "Subquery" not in text and "percentile" not in text
