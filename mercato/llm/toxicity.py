@@ -1,24 +1,25 @@
 """Toxicity from nearest labelled examples (operator 8).
 
-``fit`` takes a bounded sample of labelled documents as examples, chooses the
-words and word beginnings that tell the classes apart, and ``Index`` keeps the
-examples' TF-IDF vectors over them as an inverted index with block maxima:
-examples are ordered so that similar ones share a block, and each term stores
-its largest weight in every block.
-
-A document's exact k nearest examples by cosine are found block by block in
-the order of their upper bounds (the document's weights times the block
-maxima), until no block left can reach the k-th best.  The votes of these
-neighbours, weighted by similarity, are calibrated by a logistic curve fitted
-on the examples themselves, each scored without itself.
+``fit`` takes a bounded sample of labelled documents as examples; the terms are
+all their words and word beginnings, and ``Index`` keeps the examples' TF-IDF
+unit vectors over them.
+
+A document's exact k nearest examples by cosine come from all its terms: those
+that many examples hold are multiplied as a dense matrix, the others go through
+an inverted index, both in single precision; every example that the error bound
+leaves possible is then scored anew in double precision.  A neighbour votes with
+its cosine to the fourth (so copies count most) plus the part of its cosine that
+lies in the terms that go with the label by chi-square.  Votes are calibrated by
+a logistic curve fitted on the examples themselves, each scored without itself.
 
 Document frequencies (for the idf) cover all documents; only the examples are
-a sample, of at most ``max_examples`` labelled documents, the bound below.
+a sample, of at most ``max_examples`` labelled documents, the bound below.  A
+document's words that no example holds have no number and are not in its length.
 
-Defined cases: null or empty text, or one without any chosen term, gets the
-score of the examples without any; equal similarities go to the smaller example
-number; repeated rows give repeated results; without labelled examples every
-score is 0; only the id and text columns (and labels' id and label) are read.
+Defined cases: null or empty text, or one without any term of the examples, gets
+the score of the examples without any; equal similarities go to the smaller
+example number; repeated rows give repeated results; without labelled examples
+every score is 0; only the id and text columns (and labels' id and label) are read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,12 @@ from pyspark.sql import functions as F
 from mercato.llm.common import chunks, labelled, ragged, stored, text_bytes
 from mercato.llm.decontaminate import _word_array, spaced_words
 
-#: Labelled documents used as examples, at most; chosen terms, at most; the
-#: chi-square a term needs; examples in a block.
-MAX_EXAMPLES, MAX_TERMS, MIN_CHI2, BLOCK = 6_000, 3_000, 25.0, 64
+#: Labelled documents used as examples, at most; the chi-square a term needs to
+#: weight votes; examples multiplied at a time.
+MAX_EXAMPLES, MIN_CHI2, BLOCK = 6_000, 25.0, 6_000
+#: Terms kept as a dense matrix (those most examples hold); documents multiplied
+#: at a time; what single-precision cosines may be off.
+COMMON, TOGETHER, SLACK = 2_048, 128, 3e-4
 #: Lengths of the word beginnings that are terms beside whole words.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 NEIGHBOURS = 15
@@ -102,8 +107,21 @@ def examples_of(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return found.dropDuplicates(["text"])
 
 
-def choose_terms(examples: DataFrame, max_terms: int, min_chi2: float) -> list[str]:
-    """The terms whose presence goes with the label, by chi-square."""
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(
+            compression="zstd")) as writer:
+        writer.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
+def term_counts(examples: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All terms of the examples, sorted; how many hold each, and how many of
+    those are toxic."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(0))
@@ -116,113 +134,184 @@ def choose_terms(examples: DataFrame, max_terms: int, min_chi2: float) -> list[s
                     [names, pa.array(every.astype(np.int64)), pa.array(toxic)],
                     names=["term", "n", "n1"])
 
-    total, ones = examples.agg(F.count(F.lit(1)), F.sum("label")).first()
-    if not total or not ones or ones == total:
-        return []
+    # at most the terms of ``max_examples`` texts
     counts = (examples.select("text", "label").mapInArrow(run, "term string, n long, n1 long")
-              .groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")))
-    n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
+              .groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+              .toArrow().sort_by("term"))
+    terms = counts["term"].combine_chunks()
+    return (terms, *(counts[c].to_numpy().astype(float) for c in ("n", "n1")))
+
+
+def telling(n: np.ndarray, n1: np.ndarray, total: int, ones: float, min_chi2: float) -> np.ndarray:
+    """Whether a term's presence goes with the label, by chi-square."""
+    if not 0 < ones < total:
+        return np.zeros(len(n), bool)
     share = ones / total
-    chi2 = (n1 - n * share) ** 2 / (n * share * (1 - share) * F.greatest(
-        1 - n / total, F.lit(1 / total)))
-    best = (counts.where((F.col("n") >= 3) & (F.col("n1") > 0)).withColumn("chi2", chi2)
-            .where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms))
-    return sorted(r.term for r in best.collect())
+    chi2 = (n1 - n * share) ** 2 / (n * share * (1 - share) * np.maximum(1 - n / total, 1 / total))
+    return (n >= 3) & (n1 > 0) & (chi2 >= min_chi2)
 
 
-def features(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, terms array<int>, times array<int>): the chosen terms of each document."""
+def document_counts(docs: DataFrame, terms, n_terms: int) -> np.ndarray:
+    """How many of the documents (id, text) hold each of the broadcast terms."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = pa.array(terms, pa.string())
+        vocabulary = terms.value.terms
+        every = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for a, b in chunks([len(t) for t in texts]):
-                doc, term, times, _ = _doc_terms(texts[a:b], vocabulary)
+                every += np.bincount(_doc_terms(texts[a:b], vocabulary)[1], minlength=len(every))
+        held = np.flatnonzero(every)
+        for a in range(0, len(held), 1 << 16):
+            at = held[a:a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(every[at])],
+                                             names=["t", "n"])
+
+    # at most the terms of the examples
+    found = docs.mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    often = np.ones(n_terms)
+    often[found["t"].to_numpy()] = found["n"].to_numpy()
+    return often
+
+
+def example_terms(examples: DataFrame, terms) -> DataFrame:
+    """(id, label, terms array<int>, times array<int>) of each example."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column(2))
+            for a, b in chunks([len(t) for t in texts]):
+                doc, term, times, _ = _doc_terms(texts[a:b], terms.value.terms)
                 at = pa.array(np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a),
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
                      pa.ListArray.from_arrays(at, pa.array(term.astype(np.int32))),
                      pa.ListArray.from_arrays(at, pa.array(times.astype(np.int32)))],
-                    names=["id", "terms", "times"])
+                    names=["id", "label", "terms", "times"])
 
-    return docs.mapInArrow(run, "id long, terms array<int>, times array<int>")
+    return examples.select("id", "label", "text").mapInArrow(
+        run, "id long, label int, terms array<int>, times array<int>")
 
 
 class Index:
-    """Inverted lists of the examples' unit vectors, cut into blocks of
-    ``block`` examples, with the largest weight of each term in each block."""
+    """The examples' unit vectors, by example and by term.  The terms that most
+    examples hold are a dense matrix, multiplied ``block`` examples at a time."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int,
-                 block: int = BLOCK):
+                 block: int = BLOCK, common: int = COMMON):
         n = len(vectors)
-        lead = [int(t[np.argmax(w)]) if len(t) else n_terms for t, w in vectors]
-        self.order = np.argsort(np.array(lead, np.int64), kind="stable")  # similar ones together
-        place = np.empty(n, np.int64)
-        place[self.order] = np.arange(n)
-        sizes = [len(t) for t, _ in vectors]
-        example = np.repeat(place, sizes)
-        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)]).astype(np.int64)
-        weight = np.concatenate([np.empty(0), *(w for _, w in vectors)])
-        sort = np.lexsort([example, term])
-        self.example, self.weight, term = example[sort], weight[sort], term[sort]
-        self.block, self.n = block, n
-        self.blocks = max(1, -(-n // block))
-        cell = term * self.blocks + self.example // block
-        self.start = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
-        self.top = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.top, cell, self.weight)
-        self.top = self.top.reshape(n_terms, self.blocks)
+        self.order, self.n, self.n_terms, self.block = np.arange(n), n, n_terms, block
+        self.at = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64)
+        self.term = np.concatenate([np.empty(0, np.int32), *(t for t, _ in vectors)]).astype(np.int32)
+        self.exact = np.concatenate([np.empty(0), *(w for _, w in vectors)])
+        held = np.bincount(self.term, minlength=n_terms)
+        top = np.sort(np.argsort(-held, kind="stable")[:common])
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[top] = np.arange(len(top))
+        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.at))
+        column = self.column[self.term]
+        self.dense = np.zeros((n, len(top)), np.float32)
+        self.dense[example[column >= 0], column[column >= 0]] = self.exact[column >= 0]
+        rare = np.flatnonzero(column < 0)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        self.example, self.weight = example[rare], self.exact[rare].astype(np.float32)
+        self.start = np.searchsorted(self.term[rare], np.arange(n_terms + 1))
+        self.query = np.zeros(n_terms)  # all zero between calls of ``dots``
+
+    def dots(self, examples: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Products of one vector with some examples, in double precision."""
+        n = self.at[examples + 1] - self.at[examples]
+        at = ragged(self.at[examples], n)
+        self.query[terms] = weights
+        product = self.query[self.term[at]] * self.exact[at]
+        self.query[terms] = 0
+        return np.bincount(np.repeat(np.arange(len(examples)), n), product, len(examples))
+
+    def _rough(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Products of some vectors with all examples, each off by SLACK at most."""
+        common = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        out = np.empty((len(queries), self.n), np.float32)
+        for row, (t, w) in enumerate(queries):
+            column = self.column[t]
+            common[row, column[column >= 0]] = w[column >= 0]
+        for a in range(0, self.n, self.block):
+            out[:, a:a + self.block] = common @ self.dense[a:a + self.block].T
+        for row, (t, w) in enumerate(queries):
+            n = self.start[t + 1] - self.start[t]
+            at = ragged(self.start[t], n)
+            out[row] += np.bincount(self.example[at], np.repeat(w, n) * self.weight[at], self.n)
+        return out
+
+    def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int,
+                     skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each vector (examples, cosines) of the k most similar examples with a
+        positive cosine, ``skip`` left out; exact, ties to the smaller place."""
+        for a in range(0, len(queries), TOGETHER):
+            some = queries[a:a + TOGETHER]
+            for row, (rough, (t, w)) in enumerate(zip(self._rough(some), some)):
+                if skip is not None:
+                    rough[skip[a + row]] = -1
+                least = 0.0
+                if self.n > k:
+                    least = float(np.partition(rough, self.n - k)[self.n - k]) - 2 * SLACK
+                # every product is positive or none: no rounding makes a zero of a positive one
+                maybe = np.flatnonzero((rough > 0) & (rough >= least))
+                score = self.dots(maybe, t, w)
+                best = np.lexsort([maybe, -score])[:k]
+                yield maybe[best], score[best]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int,
                 skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k most similar examples with a positive
-        cosine, ``skip`` left out; exact, ties to the smaller place."""
-        bound = weights @ self.top[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, score, done, step = np.empty(0, np.int64), np.empty(0), 0, 4
-        while done < len(order):
-            if len(score) >= k and bound[order[done]] < score[k - 1] - 1e-12:
-                break
-            cells = (terms[:, None] * self.blocks + order[None, done:done + step]).ravel()
-            n = self.start[cells + 1] - self.start[cells]
-            at = ragged(self.start[cells], n)
-            mine = np.repeat(np.repeat(weights, len(order[done:done + step])), n)
-            ids, which = np.unique(self.example[at], return_inverse=True)
-            got = np.bincount(which, mine * self.weight[at], len(ids))
-            if skip >= 0:
-                got, ids = got[ids != skip], ids[ids != skip]
-            found, score = np.concatenate([found, ids]), np.concatenate([score, got])
-            best = np.lexsort([found, -score])[:k]
-            found, score = found[best], score[best]
-            done, step = done + step, step * 2
-        return found, score
+        """``nearest_each`` of one vector."""
+        return next(self.nearest_each([(terms, weights)], k, None if skip < 0 else [skip]))
 
 
-@dataclass
-class Model:
-    """Everything scoring needs; at most MAX_EXAMPLES sparse vectors."""
-
-    terms: list[str]
-    idf: np.ndarray
-    index: Index | None
-    label: np.ndarray
-    ids: np.ndarray
-    prior: float
-    bare: float
-    curve: tuple[float, float]
-    k: int
+class Terms:
+    """The sorted terms, small while they travel."""
+
+    def __init__(self, terms: pa.Array):
+        self.data = packed(pa.table({"term": terms}))
+
+    @cached_property
+    def terms(self) -> pa.Array:
+        return unpacked(self.data)["term"].combine_chunks()
+
+
+class Examples(Terms):
+    """What a vote needs; at most MAX_EXAMPLES term lists.  Each worker makes the
+    index once, from ``own``: (id, label, terms, times) of each example."""
+
+    def __init__(self, terms: Terms, own: pa.Table, idf: np.ndarray, telling: np.ndarray,
+                 prior: float, k: int):
+        self.data, self.own, self.idf, self.telling = terms.data, packed(own), idf, telling
+        self.prior, self.k = prior, k
+        self.label, self.ids = own["label"].to_numpy().astype(float), own["id"].to_numpy()
+
+    @cached_property
+    def index(self) -> Index:
+        own = unpacked(self.own)
+        return Index([self.vector(t.values.to_numpy(), n.values.to_numpy().astype(float))
+                      for t, n in zip(own["terms"], own["times"])], len(self.idf))
 
     def vector(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(times)) * self.idf[terms]
         norm = math.sqrt(float(w @ w))
         return (terms, w / norm) if norm else (terms[:0], w[:0])
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1):
-        found, sim = self.index.nearest(terms, weights, self.k, skip)
-        w = sim ** 2
-        raw = (float(w @ self.label[found]) + 0.1 * self.prior) / (float(w.sum()) + 0.1)
-        return raw, found, sim
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None):
+        near = self.index.nearest_each(vectors, self.k, skip)
+        for (terms, weights), (found, sim) in zip(vectors, near):
+            own = self.telling[terms]
+            w = self.index.dots(found, terms[own], weights[own]) + sim ** 4
+            raw = (float(w @ self.label[found]) + 0.1 * self.prior) / (float(w.sum()) + 0.1)
+            yield raw, found, sim
+
+
+@dataclass
+class Model:
+    """The broadcast examples, and how their votes become scores."""
+
+    examples: object
+    bare: float
+    curve: tuple[float, float]
 
     def calibrated(self, raw: float) -> float:
         a, b = self.curve
@@ -230,6 +319,26 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * logit + b))))
 
 
+def own_votes(spark, examples, n: int) -> np.ndarray:
+    """The vote on each of the n examples by the others; -1 for one without terms."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            it = examples.value
+            index = it.index
+            full = [int(i) for i in batch.column(0).to_numpy() if index.at[i] < index.at[i + 1]]
+            at = [slice(index.at[i], index.at[i + 1]) for i in full]
+            raw = [v[0] for v in it.votes([(index.term[a], index.exact[a]) for a in at], full)]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(raw, pa.float64())],
+                                             names=["place", "raw"])
+
+    out = np.full(n, -1.0)
+    # at most ``max_examples`` rows
+    found = spark.range(0, n, 1, max(1, min(8, n // 64))).mapInArrow(
+        run, "place long, raw double").toArrow()
+    out[found["place"].to_numpy()] = found["raw"].to_numpy()
+    return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Slope and offset of a slightly regularised one-variable logistic curve (Newton)."""
     design, theta = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0])
@@ -242,79 +351,75 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS,
-        min_chi2: float = MIN_CHI2, k: int = NEIGHBOURS) -> tuple[Model, DataFrame]:
-    """The model, and the stored features of all documents.  ``labels`` has
+        max_examples: int = MAX_EXAMPLES, min_chi2: float = MIN_CHI2,
+        k: int = NEIGHBOURS) -> tuple[Model, DataFrame]:
+    """The model, and the (id, text) rows of all documents.  ``labels`` has
     (doc_id, label)."""
     rows = _rows(docs, id_col, text_col)
     examples = stored(examples_of(rows, labels, max_examples), "toxicity-examples")
-    terms = choose_terms(examples, max_terms, min_chi2)
-    every = stored(features(rows, terms), "toxicity-features")
-    total, = every.agg(F.count(F.lit(1))).first()
-    often = np.ones(len(terms))
-    # at most ``max_terms`` rows
-    for r in every.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        often[r.t] = r["count"]
-    idf = np.log((total + 1) / often) if terms else np.empty(0)
-    own = {r.id: (np.array(r.terms, np.int64), np.array(r.times, float))
-           for r in features(examples.select("id", "text"), terms).collect()}
-    given = sorted((r.id, r.label) for r in examples.select("id", "label").collect())
-    label = np.array([y for _, y in given], float)
+    names, n, n1 = term_counts(examples)
+    context, terms = docs.sparkSession.sparkContext, Terms(names)
+    shared = context.broadcast(terms)
+    own = example_terms(examples, shared).toArrow().sort_by("id")
+    total = rows.count()
+    idf = np.log((total + 1) / document_counts(rows, shared, len(names)))
+    shared.destroy()
+    label = own["label"].to_numpy().astype(float)
     prior = float(label.mean()) if len(label) else 0.0
-    model = Model(terms, idf, None, label, np.array([i for i, _ in given], np.int64), prior, 0.0,
-                  (1.0, 0.0), k)
-    vectors = [model.vector(*own[i]) for i, _ in given]
-    model.index = Index(vectors, len(terms))
-    model.label, model.ids = label[model.index.order], model.ids[model.index.order]
-    placed = [vectors[i] for i in model.index.order]
-    raw = np.array([model.vote(t, w, skip)[0] if len(t) else -1.0
-                    for skip, (t, w) in enumerate(placed)])
+    known = context.broadcast(Examples(
+        terms, own, idf, telling(n, n1, len(label), label.sum(), min_chi2), prior, k))
+    raw = own_votes(docs.sparkSession, known, len(label))
     bare = raw < 0
-    model.bare = float((model.label[bare].sum() + prior) / (bare.sum() + 1)) if len(label) else 0.0
+    model = Model(known, float((label[bare].sum() + prior) / (bare.sum() + 1)) if len(label) else 0.0,
+                  (1.0, 0.0))
     if (~bare).any():
-        x = np.log((raw[~bare] + 0.01) / (1.01 - raw[~bare]))
-        model.curve = _logistic(x, model.label[~bare])
-    return model, every
+        model.curve = _logistic(np.log((raw[~bare] + 0.01) / (1.01 - raw[~bare])), label[~bare])
+    return model, rows
 
 
-def score(every: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
-    """(doc_id, score, predicted, evidence) from stored features; evidence holds the
+def score(rows: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
+    """(doc_id, score, predicted, evidence) of (id, text) rows; evidence holds the
     nearest examples: (doc_id, similarity, label)."""
+    def scored(texts: list[bytes]) -> tuple[list[float], list[list[dict]]]:
+        known = model.examples.value
+        doc, term, times, _ = _doc_terms(texts, known.terms)
+        at = np.searchsorted(doc, np.arange(len(texts) + 1))
+        vectors = [known.vector(term[a:b], times[a:b]) for a, b in zip(at, at[1:])]
+        full = [i for i, (t, _) in enumerate(vectors) if len(t)]
+        out, proof = [model.bare] * len(texts), [[] for _ in texts]
+        for i, (raw, found, sim) in zip(full, known.votes([vectors[i] for i in full])):
+            out[i] = model.calibrated(raw)
+            proof[i] = [{"doc_id": int(known.ids[j]), "similarity": float(s),
+                         "label": int(known.label[j])} for j, s in zip(found[:evidence], sim)]
+        return out, proof
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # each distinct text of a batch once
+            coded = batch.column(1).cast(pa.binary()).fill_null(b"").dictionary_encode()
+            texts = coded.dictionary.to_pylist()
+            which = coded.indices.to_numpy(zero_copy_only=False)
             out, proof = [], []
-            seen: dict[bytes, tuple[float, list[dict]]] = {}
-            for terms, times in zip(batch.column(1), batch.column(2)):
-                t = terms.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                n = times.values.to_numpy(zero_copy_only=False).astype(float)
-                key = t.tobytes() + n.tobytes()
-                if key not in seen:
-                    t, w = model.vector(t, n)
-                    if len(t):
-                        raw, found, sim = model.vote(t, w)
-                        seen[key] = model.calibrated(raw), [
-                            {"doc_id": int(model.ids[i]), "similarity": float(s),
-                             "label": int(model.label[i])} for i, s in zip(found[:evidence], sim)]
-                    else:
-                        seen[key] = model.bare, []
-                out.append(seen[key][0])
-                proof.append(seen[key][1])
-            value = np.array(out, float)
+            for a, b in chunks([len(t) for t in texts]):
+                value, found = scored(texts[a:b])
+                out += value
+                proof += found
+            value = np.array(out, float)[which]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(value), pa.array((value >= 0.5).astype(np.int32)),
-                 pa.array(proof, pa.list_(pa.struct([
+                 pa.array([proof[i] for i in which], pa.list_(pa.struct([
                      ("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])))],
                 names=["doc_id", "score", "predicted", "evidence"])
 
-    return every.mapInArrow(run, "doc_id long, score double, predicted int, "
-                            "evidence array<struct<doc_id:long,similarity:double,label:int>>")
+    return rows.mapInArrow(run, "doc_id long, score double, predicted int, "
+                           "evidence array<struct<doc_id:long,similarity:double,label:int>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0,
              **options) -> DataFrame:
     """Scores of all ``docs``, learnt from the rows of ``labels`` (doc_id,
     toxic) that are not held out: (doc_id, held_out, score, predicted, evidence)."""
-    model, every = fit(docs, labelled(labels, "toxic", mod, held, train=True), **options)
+    model, rows = fit(docs, labelled(labels, "toxic", mod, held, train=True), **options)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
-    return (score(every, model).withColumn("held_out", fold == held)
+    return (score(rows, model).withColumn("held_out", fold == held)
             .select("doc_id", "held_out", "score", "predicted", "evidence"))

@@ -60,3 +60,42 @@ def test_evidence_names_examples(spark, make_docs):
         assert r.predicted == (r.doc_id % 4 == 1)
         if r.predicted:
             assert r.evidence and all(e.label == 1 for e in r.evidence)
+
+
+def test_copy_of_an_example_finds_it(spark, make_docs):
+    """Whatever its words: the copies here hold no term that goes with the label."""
+    rude = "you awful rotten thing"
+    rows = [(i, f"{rude if i % 3 == 0 else 'a fine kind day'} filler{i}", "s") for i in range(60)]
+    lone = {100 + i: f"lone{i}x strange{i}y tale{i}z" for i in range(6)}
+    rows += [(i, t, "s") for i, t in lone.items()] + [(i + 100, t, "s") for i, t in lone.items()]
+    labels = spark.createDataFrame(
+        [(i, int(i % 3 == 0)) for i in range(60)] + [(i, i % 2) for i in lone],
+        "doc_id long, toxic int")
+    train = {i for i in lone if zlib.crc32(str(i).encode()) % 5}
+    found = {r.doc_id: r for r in toxicity.toxicity(make_docs(rows), labels).collect()}
+    assert {i % 2 for i in train} == {0, 1}
+    for i in train:
+        first = found[i + 100].evidence[0]
+        assert (first.doc_id, first.label) == (i, i % 2) and abs(first.similarity - 1) < 1e-9
+        assert found[i + 100].predicted == i % 2
+
+
+def test_common_and_rare_terms_search_alike():
+    rng = np.random.default_rng(6)
+    share = 1 / np.arange(1, 301) ** 0.7
+    vectors = []
+    for _ in range(400):
+        t = np.flatnonzero(rng.random(300) < share)
+        w = rng.random(len(t)) + 0.1
+        vectors.append((t, w / np.sqrt(w @ w) if len(t) else w))
+    dense = np.zeros((400, 300))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for common in (0, 7, 300):
+        index = toxicity.Index(vectors, 300, block=64, common=common)
+        near = list(index.nearest_each(vectors, 5, list(range(400))))
+        for i, (got, cos) in enumerate(near):
+            sim = dense @ dense[i]
+            sim[i] = -1
+            assert i not in got and np.allclose(cos, np.sort(sim)[::-1][:len(cos)])
+            assert np.allclose(sim[got], cos) and len(cos) == min(5, (sim > 0).sum())
