@@ -39,6 +39,8 @@ from mercato.llm.common import file_system, shared_folder, stored
 SAMPLE, CENTROIDS, ROWS, QUERIES = 8_192, 16, 4_096, 256
 #: Every so many rows (by hash) are in the first pass.
 FIRST_PASS = 32
+#: Vector lengths whose results are held as one plan.
+LENGTHS = 16
 
 
 def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -215,10 +217,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, query_bits: int = 6
     good = stored(valid_vectors(rows, id_col, vector_col), "vectors")
     ask = stored(valid_vectors(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")),
                  "queries")
-    lengths = [r[0] for r in ask.select(F.size("v")).distinct().limit(65).collect()]
-    if len(lengths) > 64:
-        raise ValueError("queries of more than 64 different lengths")
-    found = None
+    # one row for each length
+    lengths = [r[0] for r in ask.select(F.size("v")).distinct().collect()]
+    found, held = None, 0
     for dim in sorted(lengths):
         own = good.where(F.size("v") == dim)
         if not own.limit(1).count():
@@ -234,6 +235,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, query_bits: int = 6
             "id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound")))
         part = _search(index, coder, second, k, query_bits, epsilon)
         found = part if found is None else found.unionByName(part)
+        held += 1
+        if held % LENGTHS == 0:
+            found = stored(found, "near")
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return _top(found, k).select("query_id", "rank", "vec_id", "score")

@@ -80,3 +80,12 @@ def test_bounds_hold(dim):
         low, high = onebit._bounds(coder, q, j, words[at], norm[at], own[at], 6, 3.0)
         inside = (low <= exact[:, at] + 1e-9) & (exact[:, at] <= high + 1e-9)
         assert inside.mean() >= 0.99
+
+
+def test_queries_of_many_lengths(spark):
+    rows = spark.createDataFrame([(i, [float(i + j) for j in range(3)]) for i in range(12)],
+                                 "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(100 + n, [1.0] * n) for n in range(1, 71)],
+                                    "vec_id long, embedding array<float>")
+    got = onebit.search(rows, queries, k=2).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(103, 1, 0), (103, 2, 1)]
