@@ -164,11 +164,11 @@ ORACLE_SQL: dict[str, str] = {
                    CASE WHEN most >= 5 * w.n THEN most END AS form_n
             FROM words w LEFT JOIN best USING (word)),
         chain AS (
-            SELECT word, word AS at, 0 AS step FROM linked
+            SELECT word, word AS spot, 0 AS step FROM linked
             UNION ALL
-            SELECT c.word, l.form, step + 1 FROM chain c JOIN linked l ON l.word = c.at
+            SELECT c.word, l.form, step + 1 FROM chain c JOIN linked l ON l.word = c.spot
             WHERE l.form IS NOT NULL)
-        SELECT l.word, form, arg_max(at, step) AS root, n, n_near, form_n
+        SELECT l.word, form, arg_max(spot, step) AS root, n, n_near, form_n
         FROM linked l JOIN chain c ON c.word = l.word
         GROUP BY l.word, form, n, n_near, form_n""",
 }

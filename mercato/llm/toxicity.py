@@ -1,24 +1,32 @@
 """Toxicity from nearest labelled examples (operator 8).
 
 ``fit`` takes a bounded sample of labelled documents as examples; the terms are
-all their words and word beginnings, and ``Index`` keeps the examples' TF-IDF
-unit vectors over them.
-
-A document's exact k nearest examples by cosine come from all its terms: those
-that many examples hold are multiplied as a dense matrix, the others go through
-an inverted index, both in single precision; every example that the error bound
-leaves possible is then scored anew in double precision.  A neighbour votes with
-its cosine to the fourth (so copies count most) plus the part of its cosine that
-lies in the terms that go with the label by chi-square.  Votes are calibrated by
-a logistic curve fitted on the examples themselves, each scored without itself.
+all their words, and ``Index`` keeps the examples' TF-IDF unit vectors over them as a
+block-max inverted index: examples alike in their
+commonest terms stand side by side, and each block of ``BLOCK`` examples keeps
+every common term's greatest weight in it.
+
+A document's exact k nearest examples by cosine come from all its terms, in double
+precision.  The lists of its rarer terms are added up in full.  The k-th best of those sums is a first threshold;
+the blocks of the best ones raise it.  The common terms' lists, which hold most of all
+postings, are read only in blocks whose bound (the best sum in the block plus the
+document's weights times the block's maxima, or times the block's longest vector of common terms, if
+less) reaches the threshold; all other blocks are skipped.
+
+A neighbour votes with its cosine to the fourth (so copies count most) plus three
+times the part of its cosine that lies in the terms that go with the label by
+chi-square.  Votes are calibrated by a logistic curve fitted on the examples
+themselves, each scored without itself.
 
 Document frequencies (for the idf) cover all documents; only the examples are
-a sample, of at most ``max_examples`` labelled documents, the bound below.  A
-document's words that no example holds have no number and are not in its length.
+a sample: the first labelled documents by hash, at most ``max_examples`` and (but for the first)
+``max_bytes`` of text in all, the bounds below.  A document's words that no example
+holds have no number and are not in its length.
 
 Defined cases: null or empty text, or one without any term of the examples, gets
 the score of the examples without any; equal similarities go to the smaller
-example number; repeated rows give repeated results; without labelled examples
+example number; repeated rows give repeated results; examples of equal text
+count once, as the one with the smallest id; without labelled examples
 every score is 0; only the id and text columns (and labels' id and label) are read.
 """
 
@@ -38,59 +46,33 @@ from pyspark.sql import functions as F
 from mercato.llm.common import chunks, labelled, ragged, stored, text_bytes
 from mercato.llm.decontaminate import _word_array, spaced_words
 
-#: Labelled documents used as examples, at most; the chi-square a term needs to
-#: weight votes; examples multiplied at a time.
-MAX_EXAMPLES, MIN_CHI2, BLOCK = 6_000, 25.0, 6_000
-#: Terms kept as a dense matrix (those most examples hold); documents multiplied
-#: at a time; what single-precision cosines may be off.
-COMMON, TOGETHER, SLACK = 2_048, 128, 3e-4
-#: Lengths of the word beginnings that are terms beside whole words.
-PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Labelled documents used as examples, at most, and bytes of their texts; the
+#: chi-square a term needs to weight votes, and the weight.
+MAX_EXAMPLES, MAX_BYTES, MIN_CHI2, TELLING = 6_000, 64 << 20, 15.0, 3.0
+#: Examples of a block; terms whose lists are read by block (those most examples
+#: hold); what rounding may take from a bound.
+BLOCK, COMMON, SLACK = 16, 64, 1e-9
 NEIGHBOURS = 15
 
 
-def _term_table(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Terms of distinct words (each ending in a space): the words themselves,
-    then their beginnings (ending in ``*``); and which word each term is of."""
-    text = pc.binary_slice(words, 0, -1).cast(pa.string())
-    out, owner = [text], [np.arange(len(text))]
-    length = pc.utf8_length(text).to_numpy(zero_copy_only=False)
-    for n in PREFIXES:
-        longer = np.flatnonzero(length > n)
-        cut = pc.utf8_slice_codeunits(text.take(pa.array(longer)), 0, n)
-        out.append(pc.binary_join_element_wise(cut, "*", ""))
-        owner.append(longer)
-    return pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-                             for x in out]), np.concatenate(owner)
-
-
 def _doc_terms(texts: list[bytes], vocabulary: pa.Array | None):
-    """(document, term, times) triples of some texts; without a vocabulary,
-    terms are numbered by a dictionary, which is returned too."""
+    """(document, term, times) triples of some texts, sorted, and the vocabulary: the
+    given one, or the words of these texts."""
     spaced = [spaced_words(t) for t in texts]
     n = np.array([s.count(b" ") for s in spaced], np.int64)
     coded = _word_array(b"".join(spaced)).dictionary_encode()
+    words = pc.binary_slice(coded.dictionary, 0, -1).cast(pa.string())
     word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    terms, owner = _term_table(coded.dictionary)
+    doc = np.repeat(np.arange(len(texts)), n)
     if vocabulary is None:
-        numbered = terms.dictionary_encode()
-        vocabulary, number = numbered.dictionary, numbered.indices.to_numpy(zero_copy_only=False)
+        vocabulary, term = words, word
     else:
-        number = pc.index_in(terms, value_set=vocabulary).fill_null(-1).to_numpy(
-            zero_copy_only=False)
-    known = number >= 0
-    owner, number = owner[known], number[known].astype(np.int64)
-    order = np.argsort(owner, kind="stable")
-    owner, number = owner[order], number[order]
-    at = np.searchsorted(owner, np.arange(len(coded.dictionary) + 1))
-    counts = np.diff(at)
-    doc = np.repeat(np.arange(len(texts)), n)
-    used = counts[word] > 0
-    doc, word = doc[used], word[used]
-    term = number[ragged(at[word], counts[word])]
-    pairs = np.repeat(doc, counts[word]) * max(1, len(vocabulary)) + term
-    pairs, times = np.unique(pairs, return_counts=True)
-    return pairs // max(1, len(vocabulary)), pairs % max(1, len(vocabulary)), times, vocabulary
+        number = pc.index_in(words, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+        term = number[word].astype(np.int64)
+        doc, term = doc[term >= 0], term[term >= 0]
+    width = max(1, len(vocabulary))
+    pairs, times = np.unique(doc * width + term, return_counts=True)
+    return pairs // width, pairs % width, times, vocabulary
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -98,13 +80,21 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(text_col).cast("string").alias("text"))
 
 
-def examples_of(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """(id, text, label): at most ``limit`` labelled documents, by a hash of
-    their ids, distinct by text."""
+def examples_of(docs: DataFrame, labels: DataFrame, limit: int, max_bytes: int) -> DataFrame:
+    """(id, text, label): the first labelled documents by a hash of their ids,
+    distinct by text, at most ``limit`` and ``max_bytes``."""
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toDF("id", "label")
     # at most ``limit`` rows
     found = docs.join(F.broadcast(chosen), "id").where("text IS NOT NULL")
-    return found.dropDuplicates(["text"])
+    first = found.groupBy("text").agg(F.min(F.struct("id", "label")).alias("one"))
+    found = stored(first.select("one.id", "text", "one.label", F.xxhash64("one.id").alias("turn"),
+                                F.octet_length("text").alias("bytes")), "toxicity-examples")
+    sizes = found.select("turn", "bytes").toArrow().sort_by("turn")
+    total = np.cumsum(sizes["bytes"].to_numpy().astype(np.int64))
+    within = max(1, int(np.searchsorted(total, max_bytes, "right")))
+    if within < len(total):
+        found = found.where(F.col("turn") <= int(sizes["turn"][within - 1].as_py()))
+    return found.select("id", "text", "label")
 
 
 def packed(table: pa.Table) -> bytes:
@@ -192,76 +182,96 @@ def example_terms(examples: DataFrame, terms) -> DataFrame:
 
 
 class Index:
-    """The examples' unit vectors, by example and by term.  The terms that most
-    examples hold are a dense matrix, multiplied ``block`` examples at a time."""
+    """The examples' unit vectors, by example, by rare term, and by block of
+    examples for the common terms.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int,
+    ``at``, ``term``, ``weight`` hold the vectors one after another (terms ascending)."""
+
+    def __init__(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int,
                  block: int = BLOCK, common: int = COMMON):
-        n = len(vectors)
-        self.order, self.n, self.n_terms, self.block = np.arange(n), n, n_terms, block
-        self.at = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64)
-        self.term = np.concatenate([np.empty(0, np.int32), *(t for t, _ in vectors)]).astype(np.int32)
-        self.exact = np.concatenate([np.empty(0), *(w for _, w in vectors)])
-        held = np.bincount(self.term, minlength=n_terms)
+        self.n, self.n_terms, self.block = len(at) - 1, n_terms, block
+        example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(at))
+        held = np.bincount(term, minlength=n_terms)
         top = np.sort(np.argsort(-held, kind="stable")[:common])
-        self.column = np.full(n_terms, -1, np.int32)
+        top = top[held[top] > 0]
+        self.column = np.full(n_terms, -1, np.int16)
         self.column[top] = np.arange(len(top))
-        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.at))
-        column = self.column[self.term]
-        self.dense = np.zeros((n, len(top)), np.float32)
-        self.dense[example[column >= 0], column[column >= 0]] = self.exact[column >= 0]
-        rare = np.flatnonzero(column < 0)
-        rare = rare[np.argsort(self.term[rare], kind="stable")]
-        self.example, self.weight = example[rare], self.exact[rare].astype(np.float32)
-        self.start = np.searchsorted(self.term[rare], np.arange(n_terms + 1))
-        self.query = np.zeros(n_terms)  # all zero between calls of ``dots``
-
-    def dots(self, examples: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Products of one vector with some examples, in double precision."""
-        n = self.at[examples + 1] - self.at[examples]
-        at = ragged(self.at[examples], n)
-        self.query[terms] = weights
-        product = self.query[self.term[at]] * self.exact[at]
-        self.query[terms] = 0
-        return np.bincount(np.repeat(np.arange(len(examples)), n), product, len(examples))
-
-    def _rough(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Products of some vectors with all examples, each off by SLACK at most."""
-        common = np.zeros((len(queries), self.dense.shape[1]), np.float32)
-        out = np.empty((len(queries), self.n), np.float32)
-        for row, (t, w) in enumerate(queries):
-            column = self.column[t]
-            common[row, column[column >= 0]] = w[column >= 0]
-        for a in range(0, self.n, self.block):
-            out[:, a:a + self.block] = common @ self.dense[a:a + self.block].T
-        for row, (t, w) in enumerate(queries):
-            n = self.start[t + 1] - self.start[t]
-            at = ragged(self.start[t], n)
-            out[row] += np.bincount(self.example[at], np.repeat(w, n) * self.weight[at], self.n)
-        return out
-
-    def nearest_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int,
-                     skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each vector (examples, cosines) of the k most similar examples with a
-        positive cosine, ``skip`` left out; exact, ties to the smaller place."""
-        for a in range(0, len(queries), TOGETHER):
-            some = queries[a:a + TOGETHER]
-            for row, (rough, (t, w)) in enumerate(zip(self._rough(some), some)):
-                if skip is not None:
-                    rough[skip[a + row]] = -1
-                least = 0.0
-                if self.n > k:
-                    least = float(np.partition(rough, self.n - k)[self.n - k]) - 2 * SLACK
-                # every product is positive or none: no rounding makes a zero of a positive one
-                maybe = np.flatnonzero((rough > 0) & (rough >= least))
-                score = self.dots(maybe, t, w)
-                best = np.lexsort([maybe, -score])[:k]
-                yield maybe[best], score[best]
+        column = self.column[term]
+        blocks = -(-self.n // block)
+        # of the common terms: every weight by place, each block's maxima and longest part
+        often = np.zeros((blocks * block, len(top)))
+        frequent = column >= 0
+        order = self._alike(example[frequent], column[frequent], weight[frequent], len(top))
+        #: example at each place, and place of each example
+        self.example = np.full(blocks * block, -1, np.int32)
+        self.example[:self.n] = order
+        self.place = np.empty(self.n, np.int32)
+        self.place[order] = np.arange(self.n, dtype=np.int32)
+        often[self.place[example[frequent]], column[frequent]] = weight[frequent]
+        self.often = often.reshape(blocks, block, len(top))
+        self.most = self.often.max(1, initial=0)
+        self.longest = np.sqrt((self.often ** 2).sum(2)).max(1, initial=0)
+        rare = np.flatnonzero(~frequent)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.list_place = self.place[example[rare]]
+        self.list_weight = weight[rare]
+        self.start = np.searchsorted(term[rare], np.arange(n_terms + 1)).astype(np.int64)
+        #: blocks whose common lists were read, and those skipped
+        self.read = self.skipped = 0
+
+    def _alike(self, example, column, weight, columns: int) -> np.ndarray:
+        """An order of the examples by their weightiest common term, then their second."""
+        order = np.lexsort([-weight, example])
+        rank = np.arange(len(order)) - np.searchsorted(example[order], example[order])
+        key = np.full((2, self.n), columns)
+        for k in (0, 1):
+            own = order[rank == k]
+            key[k, example[own]] = column[own]
+        return np.lexsort([key[1], key[0]])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int,
                 skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """``nearest_each`` of one vector."""
-        return next(self.nearest_each([(terms, weights)], k, None if skip < 0 else [skip]))
+        """(examples, cosines) of the k most similar examples with a positive
+        cosine, ``skip`` left out; exact, ties to the smaller number."""
+        n = self.start[terms + 1] - self.start[terms]
+        at = ragged(self.start[terms], n)
+        sums = np.bincount(self.list_place[at], np.repeat(weights, n) * self.list_weight[at],
+                           self.often.shape[0] * self.block)
+        if skip >= 0:
+            sums[self.place[skip]] = -2  # below any bound
+        sums = sums.reshape(-1, self.block)
+        column = self.column[terms]
+        common = column >= 0
+        column, own = column[common], weights[common]
+        dense = np.zeros(self.often.shape[2])
+        dense[column] = own
+        best = sums.max(1)
+        bound = best + np.minimum(self.most @ dense, self.longest * math.sqrt(float(own @ own)))
+        full = np.full(sums.shape, -2.0)
+
+        def read(blocks: np.ndarray) -> None:
+            full[blocks] = sums[blocks] + self.often[blocks] @ dense
+            self.read += len(blocks)
+
+        # first the blocks with the best sums, then all others that may matter
+        few = max(1, min(k, len(best)))
+        first = np.argpartition(-best, few - 1)[:few]
+        read(first)
+        least = max(self._kth(full[first], k), self._kth(sums, k))
+        more = bound >= least - SLACK
+        more[first] = False
+        read(np.flatnonzero(more))
+        self.skipped += len(best) - few - int(more.sum())
+        least = self._kth(full, k)
+        # every product is positive or none: no rounding makes a zero of a positive one
+        place = np.flatnonzero(((full > 0) & (full >= least)).ravel())
+        found, score = self.example[place], full.ravel()[place]
+        order = np.lexsort([found, -score])[:k]
+        return found[order], score[order]
+
+    @staticmethod
+    def _kth(values: np.ndarray, k: int) -> float:
+        return float(np.partition(values, values.size - k, None)[values.size - k]) if values.size > k else 0.0
 
 
 class Terms:
@@ -276,7 +286,7 @@ class Terms:
 
 
 class Examples(Terms):
-    """What a vote needs; at most MAX_EXAMPLES term lists.  Each worker makes the
+    """What a vote needs; the term lists of a bounded sample.  Each worker makes the
     index once, from ``own``: (id, label, terms, times) of each example."""
 
     def __init__(self, terms: Terms, own: pa.Table, idf: np.ndarray, telling: np.ndarray,
@@ -287,22 +297,43 @@ class Examples(Terms):
 
     @cached_property
     def index(self) -> Index:
-        own = unpacked(self.own)
-        return Index([self.vector(t.values.to_numpy(), n.values.to_numpy().astype(float))
-                      for t, n in zip(own["terms"], own["times"])], len(self.idf))
-
-    def vector(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(times)) * self.idf[terms]
-        norm = math.sqrt(float(w @ w))
-        return (terms, w / norm) if norm else (terms[:0], w[:0])
+        return Index(*self.example_vectors(), len(self.idf))
 
-    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None):
-        near = self.index.nearest_each(vectors, self.k, skip)
-        for (terms, weights), (found, sim) in zip(vectors, near):
-            own = self.telling[terms]
-            w = self.index.dots(found, terms[own], weights[own]) + sim ** 4
-            raw = (float(w @ self.label[found]) + 0.1 * self.prior) / (float(w.sum()) + 0.1)
-            yield raw, found, sim
+    @cached_property
+    def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The examples' vectors cut to the telling terms."""
+        at, term, weight = self.example_vectors()
+        kept = self.telling[term]
+        before = np.concatenate([[0], np.cumsum(kept)])
+        return before[at], term[kept], weight[kept]
+
+    def example_vectors(self):
+        own = unpacked(self.own)
+        terms, times = own["terms"].combine_chunks(), own["times"].combine_chunks()
+        return self.vectors(terms.offsets.to_numpy().astype(np.int64), terms.values.to_numpy(),
+                            times.values.to_numpy())
+
+    def vectors(self, at: np.ndarray, terms: np.ndarray, times: np.ndarray):
+        """Unit vectors of documents whose terms start at ``at``; terms that say nothing go."""
+        weight = (1 + np.log(times)) * self.idf[terms]
+        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        norm = np.sqrt(np.bincount(doc, weight * weight, len(at) - 1))
+        kept = norm[doc] > 0
+        return (np.searchsorted(doc[kept], np.arange(len(at))), terms[kept].astype(np.int32),
+                weight[kept] / norm[doc[kept]])
+
+    def vote(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1):
+        """(vote, examples, cosines) of a document's nearest examples."""
+        found, sim = self.index.nearest(terms, weights, self.k, skip)
+        at, term, weight = self.told
+        n = at[found + 1] - at[found]
+        rows = ragged(at[found], n)
+        own = np.flatnonzero(self.telling[terms])
+        where = np.searchsorted(terms[own], term[rows])
+        same = np.append(terms[own], -1)[where] == term[rows]
+        product = weight[rows][same] * weights[own][where[same]]
+        w = TELLING * np.bincount(np.repeat(np.arange(len(found)), n)[same], product, len(found)) + sim ** 4
+        return (float(w @ self.label[found]) + 0.1 * self.prior) / (float(w.sum()) + 0.1), found, sim
 
 
 @dataclass
@@ -324,10 +355,9 @@ def own_votes(spark, examples, n: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             it = examples.value
-            index = it.index
-            full = [int(i) for i in batch.column(0).to_numpy() if index.at[i] < index.at[i + 1]]
-            at = [slice(index.at[i], index.at[i + 1]) for i in full]
-            raw = [v[0] for v in it.votes([(index.term[a], index.exact[a]) for a in at], full)]
+            at, term, weight = it.example_vectors()
+            full = [int(i) for i in batch.column(0).to_numpy() if at[i] < at[i + 1]]
+            raw = [it.vote(term[at[i]:at[i + 1]], weight[at[i]:at[i + 1]], i)[0] for i in full]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(raw, pa.float64())],
                                              names=["place", "raw"])
 
@@ -351,12 +381,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        max_examples: int = MAX_EXAMPLES, min_chi2: float = MIN_CHI2,
-        k: int = NEIGHBOURS) -> tuple[Model, DataFrame]:
+        max_examples: int = MAX_EXAMPLES, max_bytes: int = MAX_BYTES,
+        min_chi2: float = MIN_CHI2, k: int = NEIGHBOURS) -> tuple[Model, DataFrame]:
     """The model, and the (id, text) rows of all documents.  ``labels`` has
     (doc_id, label)."""
     rows = _rows(docs, id_col, text_col)
-    examples = stored(examples_of(rows, labels, max_examples), "toxicity-examples")
+    examples = examples_of(rows, labels, max_examples, max_bytes)
     names, n, n1 = term_counts(examples)
     context, terms = docs.sparkSession.sparkContext, Terms(names)
     shared = context.broadcast(terms)
@@ -383,11 +413,11 @@ def score(rows: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
     def scored(texts: list[bytes]) -> tuple[list[float], list[list[dict]]]:
         known = model.examples.value
         doc, term, times, _ = _doc_terms(texts, known.terms)
-        at = np.searchsorted(doc, np.arange(len(texts) + 1))
-        vectors = [known.vector(term[a:b], times[a:b]) for a, b in zip(at, at[1:])]
-        full = [i for i, (t, _) in enumerate(vectors) if len(t)]
+        at, term, weight = known.vectors(np.searchsorted(doc, np.arange(len(texts) + 1)), term, times)
         out, proof = [model.bare] * len(texts), [[] for _ in texts]
-        for i, (raw, found, sim) in zip(full, known.votes([vectors[i] for i in full])):
+        for i in np.flatnonzero(np.diff(at)).tolist():
+            a = slice(at[i], at[i + 1])
+            raw, found, sim = known.vote(term[a], weight[a])
             out[i] = model.calibrated(raw)
             proof[i] = [{"doc_id": int(known.ids[j]), "similarity": float(s),
                          "label": int(known.label[j])} for j, s in zip(found[:evidence], sim)]
