@@ -185,15 +185,21 @@ class Pieces:
     def _find(self, names: pa.Array) -> np.ndarray:
         return pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False)
 
-    @staticmethod
-    def _stem(piece: str) -> tuple[str, str]:
+    def _stem(self, piece: str) -> tuple[str, str]:
         """A piece without a mark after its letters, and the mark: the tokenizer always
-        cuts between a letter and a mark, and it lower-cases letters itself."""
+        cuts between a letter and a mark, and it lower-cases letters itself.  Letters
+        that its normalizer turns into others and combining marks stay as they are:
+        a combining mark and the mark behind it are not cut."""
         stem, mark = piece, ""
         if len(piece) > 1 and piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-            stem, mark = piece[:-1], piece[-1]
+            if piece.isascii() or self._normal(piece[:-1]).isalpha():
+                stem, mark = piece[:-1], piece[-1]
         return (stem.lower() if stem.isascii() and stem.isalpha() else stem), mark
 
+    def _normal(self, text: str) -> str:
+        normalizer = self.tokenizer.normalizer
+        return text if normalizer is None else normalizer.normalize_str(text)
+
     def _encoded(self, pieces: list[str]) -> list[list[int]]:
         stems = [self._stem(p) for p in pieces]
         parts = list(dict.fromkeys(x for pair in stems for x in pair if x))
@@ -283,7 +289,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, e
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.col(text_col).cast("string").alias("text"))
-    files = stored(rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(
+    # rows of one id are spread by the beginnings of their texts, in order
+    files = stored(rows.repartitionByRange("id", F.substring("text", 1, 64)).sortWithinPartitions("id", "text").mapInArrow(
         run, "part long, path string, docs long, tokens long, bytes long"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each file

@@ -67,3 +67,20 @@ def test_manifest(spark, odd_docs):
     fs, _ = file_system(folder)
     with fs.open_input_file(files[0].path) as stream:
         assert len(tokens.Reader(stream).number) == files[0].docs
+
+
+def test_letters_that_decompose_before_a_mark():
+    """Every letter and every mark, and random texts with combining and decomposing letters."""
+    tok = Tokenizer.from_file(tokenizer_path())
+    letters = [chr(c) for c in range(128, 0x20000) if chr(c).isalpha()]
+    changed = [c for c in letters if not tok.normalizer.normalize_str(c).isalpha()]
+    assert len(changed) > 50
+    texts = [f"{a}{c}{m}" for c in changed + letters[::97] for m in ".,;:!?" for a in ("", "Tab")]
+    rng = np.random.default_rng(4)
+    alphabet = np.array(changed[:20] + list("aZé.,;!? \u0301\u0307\u0308\u093c\u0130ß\ufb01ΑΣ12"))
+    texts += ["".join(rng.choice(alphabet, rng.integers(1, 9))) for _ in range(6_000)]
+    pieces = tokens.Pieces(tok)
+    ids, sizes = tokens.encode([t.encode() for t in texts], pieces, 1)
+    want = [e.ids + [1] for e in tok.encode_batch(texts, add_special_tokens=False)]
+    for text, own, part in zip(texts, want, np.split(ids, np.cumsum(sizes)[:-1])):
+        assert part.tolist() == own, text
