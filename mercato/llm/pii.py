@@ -42,6 +42,13 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 TRIGGER = re.compile("[0-9@]")
+#: Digit groups that are dates, decimals or addresses rather than phone numbers.
+PLAIN = re.compile(r"[0-9]{4}[-. ][0-9]{1,2}[-. ][0-9]{1,2}|[0-9]{1,2}[-. ][0-9]{1,2}[-. ][0-9]{4}"
+                   r"|[0-9]+\.[0-9]+|[0-9]{1,3}([. ][0-9]{3})+|[0-9]+(\.[0-9]+){3}"
+                   r"|[0-9]{4}-[0-9]{4}|[0-9]{4}( [0-9]{4}){2,3}")
+#: How the training windows write phone numbers without a country code.
+GROUPINGS = ("{:3}-{:3}-{:4}", "({:3}) {:3}-{:4}", "0{:2} {:7}", "0{:3} {:6}", "0{:3}-{:7}",
+             "0{:1} {:2} {:2} {:2} {:2}", "{:3}.{:3}.{:4}", "({:4}) {:3} {:3}", "0{:2} {:4} {:4}")
 
 Span = tuple[str, int, int]
 
@@ -78,7 +85,7 @@ def _emails(text: str) -> Iterator[Span]:
 def well_formed(kind: str, text: str) -> bool:
     """Whether a base match of a kind holds."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in text.split("."))
     digits = digits_of(text)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
@@ -298,10 +305,21 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, total: int = STEPS
     return tagger
 
 
+def regrouped(shape: str, digits: str) -> str:
+    """The digits, repeated as far as needed, in the groups of a shape."""
+    sizes = [int(n) for n in re.findall(r"{:([0-9])}", shape)]
+    digits, out, at = digits * 2 or "5" * 20, [], 0
+    for n in sizes:
+        out.append(digits[at:at + n])
+        at += n
+    return re.sub(r"{:[0-9]}", "{}", shape).format(*out)
+
+
 def training_windows(texts: list[str], rng: np.random.Generator, window: int = WINDOW):
     """(classes, tags, has a span) of windows with digits or at signs: around
-    spans, and one plain one of each text.  Half of the phone numbers lose their
-    country code, so the tagger does not lean on the plus sign alone."""
+    spans, and one plain one of each text.  Two thirds of the phone numbers lose their
+    country code, and most of those are written in other groups of digits, so that
+    the tagger does not lean on the plus sign or one grouping."""
     out = []
     for text in texts:
         spans = base_spans(text)
@@ -314,11 +332,14 @@ def training_windows(texts: list[str], rng: np.random.Generator, window: int = W
             piece, own = text[start:start + window], spans
             cut = next((s for s in spans if s[0] == "phone" and start <= s[1]
                         and s[2] <= start + window), None)
-            if cut and rng.random() < 0.5:
+            if cut and rng.random() < 0.67:
                 m = re.match(r"\+[0-9]+[ .-]+", text[cut[1]:cut[2]])
                 if m:
-                    gap = m.end()
-                    piece = text[start:cut[1]] + text[cut[1] + gap:start + window + gap]
+                    number = text[cut[1] + m.end():cut[2]]
+                    if rng.random() < 0.7:
+                        number = regrouped(str(rng.choice(GROUPINGS)), digits_of(number))
+                    gap = cut[2] - cut[1] - len(number)
+                    piece = text[start:cut[1]] + number + text[cut[2]:start + window + gap]
                     own = [(k, a - gap * (a > cut[1]), b - gap * (b > cut[1])) for k, a, b in spans]
             x = np.zeros(window, np.uint8)
             x[:len(piece)] = classes_of(piece[:window])
@@ -383,8 +404,11 @@ def acceptable(kind: str, text: str) -> bool:
         return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", text)) and well_formed(kind, text)
     if kind == "card":
         return bool(re.fullmatch(r"[0-9]([ -]?[0-9])+", text)) and well_formed(kind, text)
-    return bool(re.fullmatch(r"(\+?[0-9]{1,3}[ .-]?)?(\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-]?[0-9]{4}",
-                             text))
+    # groups of digits with something between them, that are no date, number or address
+    if not re.fullmatch(r"\+?[0-9]*(\([0-9]+\)|[0-9])([ .-]?(\([0-9]+\)|[0-9]))*", text):
+        return False
+    digits, groups = digits_of(text), re.findall("[0-9]+", text)
+    return 7 <= len(digits) <= 15 and len(groups) > 1 and len(groups[-1]) > 1 and not PLAIN.fullmatch(text)
 
 
 def reconcile(text: str, base: list[Span], found: list[tuple[Span, float]]) -> list[Span]:

@@ -33,7 +33,7 @@ def plain(text):
 ODD = ["", "a@b.c@d.e", "x@y", "@a.b", "a@@b.c", "..a..b@c-.d-. x", "1.2.3.4.5.6.7.8.9", "256.1.1.1",
        "001.002.003.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (918) 555-3922",
        "+1+1+1 555 555 55 55", "é4111111111111111é +44 20 7946 0958.", "1 2 3", "+1", "1.2.3.4@5.6",
-       "9" * 5_000, "a" * 5_000 + "@b.co", "+" + "(" * 3_000, "1.2.3.4 1.2.3.4\n+49 (30) 1234-5678-9"]
+       "9" * 5_000, "0" * 4_000 + ".1.2.3", "a" * 5_000 + "@b.co", "+" + "(" * 3_000, "1.2.3.4 1.2.3.4\n+49 (30) 1234-5678-9"]
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -110,6 +110,46 @@ def test_tagger_adds_what_patterns_miss(tagger):
     assert finder(["plain words only " * 500])[0] == ([], [])
 
 
+def test_other_groupings_of_phones(tagger):
+    rng = np.random.default_rng(12)
+    finder, hit, total, wrong = pii.Finder(tagger), 0, 0, 0
+    words = lambda k: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(k))
+    for shape in pii.GROUPINGS:
+        for _ in range(20):
+            phone = pii.regrouped(shape, "".join(map(str, rng.integers(0, 10, 10))))
+            before, text = words(12), words(12)
+            (_, spans), = finder([f"{before} {phone} {text}"])
+            hit += ("phone", len(before) + 1, len(before) + 1 + len(phone)) in spans
+            total += 1
+    assert hit / total >= 0.7  # this small tagger finds 140 of 180
+    for plain in ("2024-01-15", "12.10.2023", "1 234 567", "3.14159265", "4111 1111 1111", "1999-2004",
+                  "1.2.3.400", "12", "7 8", "2001:db8"):
+        for _ in range(5):
+            (_, spans), = finder([f"{words(12)} {plain} {words(12)}"])
+            wrong += any(k == "phone" for k, _, _ in spans)
+    assert wrong == 0
+
+
+def test_odd_rows_with_spans(make_docs):
+    rng = np.random.default_rng(21)
+    texts = list(made_texts(120, rng))
+    long = "abcde " * 40_000 + "+1 (918) 555-3922 " + "x" * 200_000 + " 10.2.3.4"
+    rows = [(i, t, "a") for i, t in enumerate(texts)] + [
+        (None, texts[0], None), (5, texts[5], "a"), (900, None, "a"), (901, "", None), (902, long, "b"),
+        (903, "0" * 5_000 + ".1.2.3", "b"), (903, "call (918) 555-3922 now", "b")]
+    got = pii.personal_data(make_docs(rows)).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    for i, text, _ in rows:
+        base = plain(text) if i != 903 else []
+        if i != 903:
+            assert any(r.base == ",".join(f"{k}:{a}:{b}" for k, a, b in base) for r in by[i])
+    assert len(by[5]) == 2 and by[5][0] == by[5][1] and by[900][0].spans == by[901][0].spans == ""
+    assert by[902][0].n_phone == by[902][0].n_ip == 1
+
+
 def test_windows_over_a_long_text(tagger):
     """A span at any place, also across window edges, is found once and whole."""
     for gap in range(0, 200, 13):
