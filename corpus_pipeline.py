@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``.  All but
 the last return the columns of ``docs``.
+
+Decisions are of rows, not of ids: they are joined back by the id (null is an id
+like others) and the text together, the text by its 64-bit hash.  So a rejected
+row never takes another text of its id with it, rows without an id are judged like all others, and
+rows equal in both share one decision.
 """
 
 from __future__ import annotations
@@ -16,29 +21,41 @@ from mercato.llm.linededup import text_hash
 from mercato.llm.queries import tokenizer_path
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose id is rejected; rows without an id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, one number for each id and text."""
+    return docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")),
+                                              text_hash(F.col("text"))))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go."""
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, stored(scored.where("predicted = 1").select("doc_id"), "rejected"))
+    bad = stored(scored.where("predicted = 1").select("doc_id", "text_hash"), "rejected").distinct()
+    bad = bad.toDF("_id", "_hash")
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad["_id"]) & (text_hash(docs.text) == bad["_hash"]),
+                     "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once."""
-    linked = simhash.near_duplicates(docs, shingle=3, max_distance=3)
-    first = stored(linked.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of near-duplicates the document with the smallest id stays, once
+    (without any id: one of them)."""
+    keyed = _keyed(docs)
+    linked = stored(simhash.near_duplicates(keyed, "_key", shingle=3, max_distance=3)
+                    .select(F.col("doc_id").alias("_key"), "component_id").distinct(), "linked")
+    ids = keyed.select("_key", "doc_id").join(linked, "_key")
+    # a group's size does not matter: its smallest is found before the shuffle, too
+    first = ids.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first"))
+    first = stored(first.select("first._key"), "kept")
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
-    return _without(docs, stored(found.where("contaminated").select("doc_id"), "rejected"))
+    keyed = _keyed(docs)
+    found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), window=10, id_col="_key")
+    bad = stored(found.where("contaminated").select(F.col("doc_id").alias("_key")), "rejected").distinct()
+    return keyed.join(bad, "_key", "left_anti").drop("_key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -301,11 +301,11 @@ def covered(phrases: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10,
-                  near: int | None = None) -> DataFrame:
+                  near: int | None = None, id_col: str = "doc_id") -> DataFrame:
     """For each row of ``docs``: doc_id, n_words, n_hit (words inside an
     occurrence of a window), items (ids with occurring windows, sorted as
     strings), near_items, phrases, contaminated."""
-    found = search(build_index(docs), items, window, near)
+    found = search(build_index(docs, id_col), items, window, near)
     names = F.array_sort(F.array_distinct(F.transform(
         "phrases", lambda p: p["item"].cast("string"))))
     return (found.withColumn("n_hit", covered(F.col("phrases"))).withColumn("items", names)

@@ -60,7 +60,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
-                             mod=5, held=0)
+                             mod=5, held=0).drop("text_hash")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

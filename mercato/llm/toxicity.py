@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from mercato.llm.common import chunks, labelled, ragged, stored, text_bytes
 from mercato.llm.decontaminate import _word_array, spaced_words
+from mercato.llm.linededup import text_hash
 
 #: Labelled documents used as examples, at most, and bytes of their texts; the
 #: chi-square a term needs to weight votes, and the weight.
@@ -77,7 +78,8 @@ def _doc_terms(texts: list[bytes], vocabulary: pa.Array | None):
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"),
-                       F.col(text_col).cast("string").alias("text"))
+                       F.col(text_col).cast("string").alias("text"),
+                       text_hash(F.col(text_col).cast("string")).alias("text_hash"))
 
 
 def examples_of(docs: DataFrame, labels: DataFrame, limit: int, max_bytes: int) -> DataFrame:
@@ -408,8 +410,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(rows: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
-    """(doc_id, score, predicted, evidence) of (id, text) rows; evidence holds the
-    nearest examples: (doc_id, similarity, label)."""
+    """(doc_id, text_hash, score, predicted, evidence) of (id, text, text_hash) rows;
+    evidence holds the nearest examples: (doc_id, similarity, label)."""
     def scored(texts: list[bytes]) -> tuple[list[float], list[list[dict]]]:
         known = model.examples.value
         doc, term, times, _ = _doc_terms(texts, known.terms)
@@ -436,20 +438,20 @@ def score(rows: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
                 proof += found
             value = np.array(out, float)[which]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(value), pa.array((value >= 0.5).astype(np.int32)),
+                [batch.column(0), batch.column(2), pa.array(value), pa.array((value >= 0.5).astype(np.int32)),
                  pa.array([proof[i] for i in which], pa.list_(pa.struct([
                      ("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])))],
-                names=["doc_id", "score", "predicted", "evidence"])
+                names=["doc_id", "text_hash", "score", "predicted", "evidence"])
 
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, "
+    return rows.mapInArrow(run, "doc_id long, text_hash long, score double, predicted int, "
                            "evidence array<struct<doc_id:long,similarity:double,label:int>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0,
              **options) -> DataFrame:
     """Scores of all ``docs``, learnt from the rows of ``labels`` (doc_id,
-    toxic) that are not held out: (doc_id, held_out, score, predicted, evidence)."""
+    toxic) that are not held out: (doc_id, held_out, score, predicted, evidence, text_hash)."""
     model, rows = fit(docs, labelled(labels, "toxic", mod, held, train=True), **options)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
     return (score(rows, model).withColumn("held_out", fold == held)
-            .select("doc_id", "held_out", "score", "predicted", "evidence"))
+            .select("doc_id", "held_out", "score", "predicted", "evidence", "text_hash"))

@@ -61,5 +61,33 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs, sf_dir):
         assert stage(spark, no_docs, sf_dir).count() == 0
     once = corpus_pipeline.drop_near_duplicates(spark, odd_docs, sf_dir)
     ids = [r.doc_id for r in once.collect()]
-    assert ids.count(None) == 2 and ids.count(7) == 0 and ids.count(6) == 1 and ids.count(1) == 1
+    # a null id is an id like others: the empty text without one is a copy of document 1
+    assert ids.count(None) == 1 and ids.count(7) == 0 and ids.count(6) == 1 and ids.count(1) == 1
     assert tokens.token_files(once, tokenizer_path()).count() == len(ids)
+
+
+def test_decisions_hit_their_own_rows(spark, make_docs, tmp_path):
+    """Repeated ids on different texts, and null ids: every row is judged by itself."""
+    rude, kind = "you awful rotten thing", "a fine kind day"
+    passage = " ".join(f"passage{k}" for k in range(12))
+    lone = " ".join(f"lone{k}" for k in range(40))
+    rows = [(i, f"{rude if i % 3 == 0 else kind} filler{i} more{i} tail{i}", "s") for i in range(60)]
+    odd = [(500, f"{rude} again500", "s"), (500, f"{lone} clean500", "s"), (None, f"{rude} nobody", "s"),
+           (None, f"{lone} x y nobody's", "s"), (None, f"{lone} x y nobody's", "s"),
+           (501, f"start {passage} end", "s"), (501, "quite another text about gardens and trees", "s"),
+           (None, f"{passage} without an id", "s"), (None, "weather report for the coming week", "s")]
+    spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(60)],
+                          "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    docs = make_docs(rows + odd)
+    left = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect()
+                             if r.doc_id is None or r.doc_id >= 500)
+    named = lambda keep: sorted((str(i), t) for k, (i, t, _) in enumerate(odd) if k in keep)
+    mild = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert left(mild) == named({1, 3, 4, 5, 6, 7, 8})
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert left(clean) == named({0, 1, 2, 3, 4, 6, 8})
+    once = left(corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)))
+    assert once.count(named({3})[0]) == 1 and named({6})[0] in once and named({8})[0] in once
+    assert named({5})[0] in once and once.count(named({1})[0]) == 1
