@@ -12,13 +12,13 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.functions import (first_per_key, key_audit, key_count, local_date,
                                null_profile, sentinel, timestamp_text)
 from mercato.functions.dates import DEFAULT_ZONE
-from mercato.sources import Tables
+from mercato.sources import Tables, read_table, update_table
 
 # Total order that decides which item survives de-duplication.  The source
 # leaves the survivor arbitrary; we keep the lowest item number.
@@ -106,6 +106,14 @@ def orders_silver(orders: DataFrame) -> DataFrame:
         "order_approved_at", F.coalesce(F.col("order_approved_at"), sentinel(dtype)))
 
 
+def fill_missing_approval(spark: SparkSession, path: str) -> int:
+    """The same as an UPDATE of a stored orders table: only files that hold an
+    order without approval time are rewritten.  Returns their number."""
+    dtype = read_table(spark, path).schema["order_approved_at"].dataType
+    return update_table(spark, path, F.col("order_approved_at").isNull(),
+                        {"order_approved_at": sentinel(dtype)})
+
+
 def orders_approved_label(t: Tables, unknown: str = "UNKNOWN") -> DataFrame:
     """Approval time as text, ``UNKNOWN`` where missing."""
     dtype = t.orders.schema["order_approved_at"].dataType

@@ -29,7 +29,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.session import ensure_checkpoint_dir
-from mercato.sources.files import current_version, read_table, write_table
+from mercato.sources.files import ConflictError, current_version, read_table, write_table
 from mercato.sources.tables import LazyTables, Tables
 
 # Read-back frames per (application, path): listing the files and reading
@@ -71,7 +71,10 @@ def stage_tables(spark: SparkSession, tables: Tables | LazyTables, state: str,
                 _READ_BACK[memo] = spark.table(table)
             else:
                 if current_version(spark, path) is None:
-                    write_table(getattr(tables, name), path)
+                    try:
+                        write_table(getattr(tables, name), path, base=0)
+                    except ConflictError:
+                        pass  # another session stored the same state first
                 _READ_BACK[memo] = read_table(spark, path)
         return _READ_BACK[memo]
 
