@@ -171,3 +171,21 @@ def test_sketch_is_an_option(spark):
     exact, sketch = (rfm.rfm_scores(t, as_of="2018-02-01", thresholds=how).collect()
                      for how in ("exact", "sketch"))
     assert sorted(exact) == sorted(sketch)
+
+
+def test_two_table_functions_keep_their_own_bundles(spark):
+    def bundle(*ids):
+        return make_tables(spark, orders=[
+            order("done" + ids[0], "c0", purchase="2018-01-01 10:00:00", delivered="2018-01-03 10:00:00"),
+            *[order(i, "c" + i, status="shipped", purchase="2018-01-05 10:00:00") for i in ids]])
+    for name, ids in (("late_a", ("10", "11")), ("late_b", ("77",))):
+        assert delivery.register_delayed_orders_function(spark, bundle(*ids), name) == name
+    call = lambda name: sorted(r.order_id for r in spark.sql(
+        f"SELECT * FROM {name}(DATE'2018-02-01')").collect())
+    assert call("late_a") == ["10", "11"] and call("late_b") == ["77"]
+    delivery.register_delayed_orders_function(spark, bundle("12"), "late_a")
+    assert call("late_a") == ["12"] and call("late_b") == ["77"]
+    spark.range(1).createOrReplaceTempView("late_c__orders")
+    with pytest.raises(ValueError, match="late_c__orders"):
+        delivery.register_delayed_orders_function(spark, bundle("1"), "late_c")
+    assert spark.table("late_c__orders").columns == ["id"]
