@@ -148,27 +148,52 @@ def _service_measures(t: Tables) -> DataFrame:
         (F.sum(n_i * F.col("ans_sum")) / F.sum(n_i * F.col("ans_n"))).alias("avg_answer_time_day")))
 
 
-def _paired(left: DataFrame, right: DataFrame, pieces: int) -> DataFrame:
-    """Every (left, right) row pair of an order, an order cut into a grid of
-    ``pieces`` x ``pieces``: each left row has one piece and is sent to a whole
-    row of the grid, each right row to a column, so one order holding most rows
-    is paired in many tasks.  The pairs are what the report groups by."""
-    piece = lambda df: F.pmod(F.xxhash64(*df.columns), F.lit(pieces)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
-    a = left.withColumn("_p", piece(left)).withColumn("_q", every)
-    b = right.withColumn("_q", piece(right)).withColumn("_p", every)
+#: Keys of an order on one side above which the order is paired by several tasks.
+HOT_ORDER_ROWS = 10_000
+
+
+def hot_orders(left: DataFrame, right: DataFrame, hot: int, pieces: int) -> DataFrame:
+    """(order_id, left_pieces, right_pieces): orders with more than ``hot`` rows on a
+    side, and in how many pieces each side is cut (``hot`` rows a piece, ``pieces`` at most).
+    Orders are few beside rows, and hot ones few beside orders."""
+    rows = (left.groupBy("order_id").agg(one().alias("nl"))
+            .join(right.groupBy("order_id").agg(one().alias("nr")), "order_id")
+            .where((F.col("nl") > hot) | (F.col("nr") > hot)))
+    cut = lambda n: F.least(F.ceil(F.col(n) / hot), F.lit(pieces)).cast("int")
+    return rows.select("order_id", cut("nl").alias("left_pieces"), cut("nr").alias("right_pieces"))
+
+
+def _paired(left: DataFrame, right: DataFrame, pieces: int,
+            hot: int = HOT_ORDER_ROWS) -> DataFrame:
+    """Every (left, right) row pair of an order.  Ordinary orders are sent once.  An
+    order with more than ``hot`` rows on a side is cut into a grid sized by its
+    rows: each left row has one piece and is sent to a whole row of the grid, each right
+    row to a column, so it is paired in many tasks.  The pairs are what the report groups by."""
+    heavy = hot_orders(left, right, hot, pieces)
+    piece = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n)).cast("int")
+    along = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sizes = [F.coalesce(F.col(n), F.lit(1)).alias(n) for n in ("left_pieces", "right_pieces")]
+
+    def sized(df: DataFrame) -> DataFrame:
+        return df.join(heavy, "order_id", "left").select(*df.columns, *sizes)
+
+    a, b = sized(left), sized(right)
+    drop = ("left_pieces", "right_pieces")
+    a = a.withColumn("_p", piece(left, "left_pieces")).withColumn("_q", along("right_pieces")).drop(*drop)
+    b = b.withColumn("_q", piece(right, "right_pieces")).withColumn("_p", along("left_pieces")).drop(*drop)
     return a.join(b, ["order_id", "_p", "_q"]).drop("_p", "_q")
 
 
-def state_profile_top_categories(t: Tables, level: str = "group", pieces: int = 4) -> DataFrame:
+def state_profile_top_categories(t: Tables, level: str = "group", pieces: int = 64,
+                                 hot: int = HOT_ORDER_ROWS) -> DataFrame:
     """H26's measures taken over distinct (state, category, price,
     freight, score, review times) groups, plus per state the category of
     the group with most revenue and of the group with most rows.
 
     As written, a group's revenue and row count count item x review pairs;
     the pairs of distinct keys are what the statement groups by, so they are
-    formed, in a grid of ``pieces`` x ``pieces`` tasks for each order; rows
-    behind a key are only counted.  The two "rank = 1" self-joins become one
+    formed, those of orders with more than ``hot`` keys on a side in a grid of at
+    most ``pieces`` x ``pieces`` tasks; rows behind a key are only counted.  The two "rank = 1" self-joins become one
     min_by per state (ties go to the smaller name).
 
     ``level="category"`` is the reading the titles suggest: H26's row-level
@@ -185,7 +210,7 @@ def state_profile_top_categories(t: Tables, level: str = "group", pieces: int =
                            "review_creation_date").agg(one().alias("n_r"))
     places = _order_places(t, delivered_orders(t.orders)).select("order_id", "customer_state")
     w = F.col("n_i") * F.col("n_r")
-    groups = (_paired(ik.join(places, "order_id"), rk, pieces)
+    groups = (_paired(ik.join(places, "order_id"), rk, pieces, hot)
               .groupBy("customer_state", EN, "price", "freight_value", "review_score",
                        "review_answer_timestamp", "review_creation_date")
               .agg(F.sum(F.col("price") * w).alias("category_monetary"),

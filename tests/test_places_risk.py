@@ -166,3 +166,16 @@ def test_a_large_order_is_paired_in_many_tasks(spark):
     right = spark.range(1000).selectExpr("'o' AS order_id", "id AS b")
     pairs = geography._paired(left, right, 4)
     assert pairs.count() == 1_000_000
+
+
+def test_only_hot_orders_are_cut(spark):
+    left = spark.range(1000).selectExpr("if(id < 900, 'hot', concat('o', id)) AS order_id", "id AS a")
+    right = spark.range(500).selectExpr("if(id < 300, 'hot', concat('o', 500 + id)) AS order_id", "id AS b")
+    plain = left.join(right, "order_id")
+    heavy = {r.order_id: (r.left_pieces, r.right_pieces)
+             for r in geography.hot_orders(left, right, 100, 64).collect()}
+    assert heavy == {"hot": (9, 3)}
+    pairs = geography._paired(left, right, 64, hot=100)
+    assert pairs.count() == plain.count() > 270_000 and pairs.exceptAll(plain).isEmpty()
+    capped = geography._paired(left, right, 2, hot=100)
+    assert capped.count() == plain.count()
