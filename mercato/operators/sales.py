@@ -42,13 +42,47 @@ def payment_type_totals(t: Tables) -> DataFrame:
             .orderBy(desc("total_payment"), asc("payment_type")))
 
 
-def category_payment_vs_price(t: Tables, k: int = 10) -> DataFrame:
+def apportioned_payments(t: Tables) -> DataFrame:
+    """(order_id, English category, value): each order's payments split over its
+    categories by their share of the order's price, in whole cents.
+
+    Every category gets its share rounded down; the cents left over go one each to the
+    largest remainders, ties by name (null first).  An order without items, or without
+    any price, gives all to the first category by name (null without items).
+    Shares add up to the payments to the cent.
+    """
+    cents = lambda c: (F.col(c) * 100).cast("decimal(30,0)")
+    pay = t.payments.groupBy("order_id").agg(F.round(F.sum("payment_value"), 2).alias("paid"))
+    pay = pay.where("paid IS NOT NULL").select("order_id", cents("paid").alias("paid"))
+    by_product = t.items.groupBy("order_id", "product_id").agg(F.sum("price").alias("price"))
+    named = (with_category(by_product, t, translated="left", products="left")
+             .groupBy("order_id", EN).agg(F.sum("price").alias("price"))
+             .select("order_id", EN, F.coalesce(cents("price"), F.lit(0).cast("decimal(30,0)")).alias("price")))
+    # an order's categories are at most all categories
+    order = Window.partitionBy("order_id")
+    j = pay.join(named, "order_id", "left").withColumn("all", F.sum("price").over(order))
+    j = j.withColumn("price", F.coalesce("price", F.lit(0))).withColumn("all", F.coalesce("all", F.lit(0)))
+    j = j.withColumn("share", F.when(F.col("all") > 0, F.expr("(paid * price) DIV all")).otherwise(0))
+    j = j.withColumn("rest", F.when(F.col("all") > 0, F.expr("(paid * price) % all")).otherwise(0))
+    left = F.col("paid") - F.sum("share").over(order)
+    turn = F.row_number().over(order.orderBy(F.desc("rest"), F.asc_nulls_first(EN)))
+    extra = (F.when(F.col("all") > 0, F.when(turn <= left, 1).otherwise(0))
+             .otherwise(F.when(turn == 1, F.col("paid")).otherwise(0)))
+    return j.select("order_id", EN, ((F.col("share") + extra) / 100).cast("decimal(30,2)").alias("value"))
+
+
+def category_payment_vs_price(t: Tables, k: int | None = 10, payments: str = "per_row") -> DataFrame:
     """Payments ⟕ items ⟕ products ⟕ translation by English category.
 
+    ``payments="per_order"`` counts each payment once: it is split over the order's
+    categories (:func:`apportioned_payments`), and prices are those of the paid orders' items.
+
     As written, every payment row of an order meets every item row, so both
     sums count each other's rows; that product is computed per order from
     pre-aggregated counts instead of being materialised.
     """
+    if payments == "per_order":
+        return _payments_per_order(t, k)
     pay = t.payments.groupBy("order_id").agg(F.sum("payment_value").alias("pay_sum"),
                                              one().alias("pay_rows"))
     itm = t.items.groupBy("order_id", "product_id").agg(F.sum("price").alias("price_sum"),
@@ -64,6 +98,19 @@ def category_payment_vs_price(t: Tables, k: int = 10) -> DataFrame:
     return top_k(out, k, [desc("total_value"), asc(EN)])
 
 
+def _payments_per_order(t: Tables, k: int | None) -> DataFrame:
+    paid = t.payments.where("payment_value IS NOT NULL").select("order_id").distinct()
+    by_product = (t.items.groupBy("order_id", "product_id").agg(F.sum("price").alias("price"))
+                  .join(paid, "order_id", "left_semi").groupBy("product_id").agg(F.sum("price").alias("p")))
+    prices = (with_category(by_product, t, translated="left", products="left")
+              .groupBy(EN).agg(round_money(F.sum("p")).alias("total_price")))
+    values = apportioned_payments(t).groupBy(EN).agg(round_money(F.sum("value")).alias("total_value"))
+    out = (values.join(prices.withColumnRenamed(EN, "_en"), F.col(EN).eqNullSafe(F.col("_en")), "left")
+           .select(EN, "total_value", "total_price"))
+    order = [desc("total_value"), asc(EN)]
+    return top_k(out, k, order) if k else out.orderBy(*order)
+
+
 def _aov_columns(total: str = "_rev", n: str = "_n") -> list:
     return [round_money(F.col(total)).alias("total_revenue"),
             F.round(F.col(n).cast("double"), 2).alias("total_orders"),

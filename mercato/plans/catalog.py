@@ -94,6 +94,8 @@ REPORTS: dict[str, Report] = {
     "top_products_delivered": lambda t, s: sales.top_products_delivered(t),
     "payment_type_totals": lambda t, s: sales.payment_type_totals(t),
     "category_payment_vs_price": lambda t, s: sales.category_payment_vs_price(t),
+    "category_payment_per_order": lambda t, s: sales.category_payment_vs_price(
+        t, k=None, payments="per_order"),
     "aov_all_time": lambda t, s: sales.aov_all_time(_is(t)),
     "aov_monthly": lambda t, s: sales.aov_monthly(_is(t), _os(t)),
     "category_item_counts": lambda t, s: sales.category_item_counts(_is(t), t),

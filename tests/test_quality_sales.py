@@ -155,3 +155,32 @@ def test_reviews_option_silver_removes_the_fan_out(spark):
     fixed = sales.category_leaders(one_review, min_items=1, min_reviews=1).first()
     assert (fixed.total_items_sold, fixed.total_revenue, fixed.average_review_score) == (
         1, 10.0, 5.0)
+
+
+def test_payments_per_order_are_split_to_the_cent(spark):
+    t = _catalog(spark,
+                 items=[item("o1", 1, pid="p1", price=10), item("o1", 2, pid="p2", price=10),
+                        item("o1", 3, pid="p4", price=10), item("o2", 1, pid="p1", price=0),
+                        item("o2", 2, pid="p2", price=0), item("o3", 1, pid="p2", price=5)],
+                 payments=[("o1", "credit_card", m("10.00")), ("o1", "voucher", m("0.01")),
+                           ("o2", "boleto", m("3.33")), ("o9", "boleto", m("12"))])
+    split = {(r.order_id, r.product_category_name_english): str(r.value)
+             for r in sales.apportioned_payments(t).collect()}
+    # 1001 cents in three equal parts: 333 each, the two left over to the first by name (null first)
+    assert split == {("o1", None): "3.34", ("o1", "A"): "3.34", ("o1", "B"): "3.33",
+                     ("o2", "A"): "3.33", ("o2", "B"): "0.00", ("o9", None): "12.00"}
+    got = {r.product_category_name_english: (float(r.total_value), r.total_price and float(r.total_price))
+           for r in sales.category_payment_vs_price(t, k=None, payments="per_order").collect()}
+    assert got == {None: (15.34, 10.0), "A": (6.67, 10.0), "B": (3.33, 10.0)}
+    assert round(sum(v for v, _ in got.values()), 2) == 25.34
+    top = sales.category_payment_vs_price(t, k=1, payments="per_order").collect()
+    assert [r.product_category_name_english for r in top] == [None]
+
+
+def test_apportioned_payments_add_up(spark, sf_dir):
+    from mercato.sources import stand_in_tables
+    from pyspark.sql import functions as F
+    t = stand_in_tables(spark, sf_dir)
+    split = sales.apportioned_payments(t).groupBy("order_id").agg(F.sum("value").alias("v"))
+    paid = t.payments.groupBy("order_id").agg(F.sum("payment_value").alias("p"))
+    assert paid.join(split, "order_id", "full").where("p IS DISTINCT FROM v").isEmpty()
