@@ -5,9 +5,9 @@ date), distinct delivered orders, item revenue.  Each measure is scored 1-5
 against its 20/40/60/80 % quantiles, scores are joined into a code like ``555``
 and mapped to a segment, first matching rule wins.
 
-The quantiles are exact at every size: distinct values are counted, cut into
-value ranges, and the value at a rank is found from the running sums of the
-ranges and, within one range, of its values.
+The quantiles are exact at every size: a mergeable sketch bounds each of them from
+below and above, rows outside the bounds are only counted, and the value at a rank is
+found from the running sums of the few distinct values between the bounds.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from mercato.operators._shared import delivered_orders
 from mercato.sources import Tables
 
 FIFTHS = (1, 2, 3, 4)
-# Value ranges per measure, and the accuracy of the sketch that only balances them.
-RANGES, RANGE_ACCURACY = 200, 2_000
+# The sketch that bounds each threshold (rank error at most 1 / accuracy), and how many
+# such errors its bounds keep away: 0.32 % of the rows lie between bounds.
+BRACKET_ACCURACY, MARGIN = 10_000, 4
 # For thresholds="sketch": relative rank error 1 / accuracy.
 SKETCH_ACCURACY = 100_000
 
@@ -67,16 +68,22 @@ def exact_thresholds(metrics: DataFrame, columns: dict[str, Column]) -> DataFram
     smallest value with at least k fifths of all rows at or below it."""
     pairs = F.array(*[F.struct(F.lit(name).alias("m"), c.cast("double").alias("v"))
                       for name, c in columns.items()])
-    counts = (metrics.select(F.explode(pairs).alias("p")).select("p.m", "p.v")
-              .where("v IS NOT NULL").groupBy("m", "v").agg(F.count(F.lit(1)).alias("n")))
-    # any cut points give the right ranks; these make ranges of like size
-    marks = F.percentile_approx("v", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]),
-                                RANGE_ACCURACY)
-    cuts = counts.groupBy("m").agg(marks.alias("cuts"))  # a row per measure
-    ranged = (counts.join(F.broadcast(cuts), "m")
-              .select("m", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("r")))
+    values = (metrics.select(F.explode(pairs).alias("p")).select("p.m", "p.v")
+              .where("v IS NOT NULL"))
+    # a low and a high bound around each threshold, from a sketch: a row per measure
+    near = F.array(*[F.lit(k / 5 + d * MARGIN / BRACKET_ACCURACY) for k in FIFTHS for d in (-1, 1)])
+    cuts = values.groupBy("m").agg(F.percentile_approx("v", near, BRACKET_ACCURACY).alias("cuts"))
+    # ranges in ascending order: the gap below a threshold's bounds (even), between them (odd)
+    passed = sum((F.when(F.col("cuts")[2 * j + 1] < F.col("v"), 1).otherwise(0)
+                  for j in range(len(FIFTHS))), F.lit(0))
+    between = F.coalesce(F.get("cuts", 2 * F.col("passed")) <= F.col("v"), F.lit(False))
+    ranged = (values.join(F.broadcast(cuts), "m").select("m", "v", "cuts", passed.alias("passed"))
+              .select("m", "v", (2 * F.col("passed") + between.cast("int")).alias("r")))
+    # a gap needs only its row count; values between bounds are counted one by one
+    counts = (ranged.groupBy("m", "r", F.when(F.col("r") % 2 == 1, F.col("v")).alias("v"))
+              .agg(F.count(F.lit(1)).alias("n")))
     upto = Window.partitionBy("m").orderBy("r")
-    sums = (ranged.groupBy("m", "r").agg(F.sum("n").alias("s"))
+    sums = (counts.groupBy("m", "r").agg(F.sum("n").alias("s"))
             .withColumn("end", F.sum("s").over(upto))
             .withColumn("total", F.sum("s").over(Window.partitionBy("m"))))
     rank = F.ceil(F.col("total") * F.col("k") / 5)
@@ -84,9 +91,12 @@ def exact_thresholds(metrics: DataFrame, columns: dict[str, Column]) -> DataFram
            .withColumn("rank", rank).where("end >= rank AND end - s < rank")
            .select("m", "r", "k", (F.col("rank") - F.col("end") + F.col("s")).alias("left")))
     within = Window.partitionBy("m", "k").orderBy("v")
-    found = (ranged.join(F.broadcast(hit), ["m", "r"])
+    # the sketch's error is below the margin, so a rank never falls in a gap; if it did, fail
+    value = F.when(F.col("r") % 2 == 1, F.col("v")).otherwise(
+        F.raise_error(F.lit("a quantile lies outside its sketched bounds")).cast("double"))
+    found = (counts.join(F.broadcast(hit), ["m", "r"])
              .withColumn("run", F.sum("n").over(within)).where(F.col("run") >= F.col("left"))
-             .groupBy("m", "k").agg(F.min("v").alias("v")))
+             .groupBy("m", "k").agg(F.min(value).alias("v")))
     pick = lambda name, k: F.min(F.when((F.col("m") == name) & (F.col("k") == k), F.col("v")))
     return found.agg(F.struct(*[F.array(*[pick(name, k) for k in FIFTHS]).alias(name)
                                 for name in columns]).alias("q"))

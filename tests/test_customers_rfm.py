@@ -160,6 +160,18 @@ def test_thresholds_are_exact_at_any_size(spark):
         assert list(q[c]) == [values[-(-k * n // 5) - 1] for k in (1, 2, 3, 4)], c
 
 
+def test_thresholds_with_hot_values(spark):
+    """Values holding whole fifths, whose sketched bounds meet, between rare ones."""
+    n = 60_000
+    df = spark.range(n, numPartitions=7).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 5.0 WHEN id % 3 = 1 THEN id / 10000 ELSE 5.5 END AS a",
+        "CASE WHEN id % 10 < 9 THEN 1 ELSE id END AS b")
+    q = rfm.exact_thresholds(df, {c: F.col(c) for c in "ab"}).first().q
+    for c in "ab":
+        values = sorted(r[0] for r in df.select(F.col(c).cast("double")).collect())
+        assert list(q[c]) == [values[-(-k * n // 5) - 1] for k in (1, 2, 3, 4)], c
+
+
 def test_thresholds_of_few_rows(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (None,)], "a double")
     assert list(rfm.exact_thresholds(df, {"a": F.col("a")}).first().q["a"]) == [1.0, 1.0, 2.0, 2.0]
