@@ -23,7 +23,7 @@ from mercato.sources import Tables
 
 FIFTHS = (1, 2, 3, 4)
 # The sketch that bounds each threshold (rank error at most 1 / accuracy), and how many
-# such errors its bounds keep away: 0.32 % of the rows lie between bounds.
+# such errors its bounds keep away: at most 0.4 % of the rows (and ties) lie between bounds.
 BRACKET_ACCURACY, MARGIN = 10_000, 4
 # For thresholds="sketch": relative rank error 1 / accuracy.
 SKETCH_ACCURACY = 100_000
