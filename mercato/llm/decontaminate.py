@@ -10,13 +10,16 @@ lists are intersected from its rarest word on: candidate starts are that
 word's positions less its offset, and each further word keeps the starts at
 which it occurs at its own offset (exact phrases).  With ``near`` given, the
 same order finds places where all words of a window lie within that many
-words of the rarest (proximity).  Windows go out in blocks of bounded size.
+words of the rarest (proximity).  Windows lie in the shared folder in blocks
+of bounded size; a task reads one block at a time, the driver none.  Equal
+windows of several items are looked up once.
 
 Defined cases: null text has no words; a row without words gives n_words 0
-and no match; repeated rows give repeated results; items without an id or
-without words have no windows; an item in several rows counts once in
-a document's items; only the id and text columns are read.  A document is
-held whole by one task.
+and no match; repeated rows give repeated results; items without words have
+no windows; windows of an item without an id are matched and count as hits
+like others (``item`` is null there), only the lists of ids leave it out;
+an item in several rows counts once in a document's items; only the id
+and text columns are read.  A document is held whole by one task.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import ragged, stored, text_bytes
+from mercato.llm.common import (discard, file_system, ragged, shared_folder, stored, text_bytes)
 
 #: Lower-cases A-Z and turns every byte outside words into a space.  Words are
 #: runs of 0-9, a-z and non-ASCII characters.
@@ -126,28 +131,72 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()),
                  pa.array(cols[2], pa.int64())], names=["item", "words", "n"])
 
-    rows = (items.select(F.col(id_col).cast("long").alias("item"),
-                         F.col(text_col).cast("string").alias("text"))
-            .where("item IS NOT NULL AND text IS NOT NULL"))
+    rows = items.select(F.col(id_col).cast("long").alias("item"),
+                        F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     return rows.mapInArrow(run, "item long, words binary, n long")
 
 
+def window_blocks(items: DataFrame, window: int, id_col: str, text_col: str,
+                  block_words: int) -> tuple[str, int]:
+    """The distinct pieces of the items in a shared folder, one subfolder for each
+    block of about ``block_words`` words; the folder and the number of blocks."""
+    words = stored(item_words(items, id_col, text_col, window).distinct(), "item-words")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_words))
+    folder = shared_folder(items.sparkSession, "window-blocks")
+    (words.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
+     .repartition(blocks, "block").write.mode("overwrite").partitionBy("block").parquet(folder))
+    discard(words)
+    return folder, blocks
+
+
+def read_block(folder: str, block: int) -> pa.Table:
+    """(item, words) of one block, inside a task."""
+    system, root = file_system(folder)
+    found = system.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True))
+    parts = []
+    for info in found:
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as file:
+                parts.append(pq.ParquetFile(file).read(columns=["item", "words"]))
+    return pa.concat_tables(parts) if parts else pa.table(
+        {"item": pa.array([], pa.int64()), "words": pa.array([], pa.binary())})
+
+
 class Windows:
-    """A block of item windows: ``terms`` (distinct words), and a matrix of
-    term numbers, one row for each window, padded with -1."""
+    """The distinct windows of a block: ``terms`` (distinct words), a matrix of
+    term numbers, one row for each window, padded with -1, and each window's
+    distinct items."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], window: int):
-        coded = _word_array(b"".join(words for _, words in rows)).dictionary_encode()
+    def __init__(self, rows: pa.Table, window: int):
+        pieces = rows.column("words").to_pylist()
+        coded = _word_array(b"".join(pieces)).dictionary_encode()
         self.terms = coded.dictionary
-        number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = np.array([words.count(b" ") for _, words in rows], np.int64)
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        n = np.array([words.count(b" ") for words in pieces], np.int64)
         starts = np.maximum(n - window + 1, 1)
         first = ragged(np.cumsum(n) - n, starts)
-        self.item = np.repeat(np.array([item for item, _ in rows], np.int64), starts)
-        self.length = np.repeat(np.minimum(n, window), starts)
+        length = np.repeat(np.minimum(n, window), starts)
         at = first[:, None] + np.arange(window)
-        inside = np.arange(window) < self.length[:, None]
-        self.word = np.where(inside, number[np.where(inside, at, 0)], -1)
+        inside = np.arange(window) < length[:, None]
+        word = np.where(inside, number[np.where(inside, at, 0)] if len(number) else -1, -1)
+        self.word, which = np.unique(word.astype(np.int32), axis=0, return_inverse=True)
+        self.word = self.word.astype(np.int64)
+        self.length = (self.word >= 0).sum(axis=1)
+        item = rows.column("item").combine_chunks().dictionary_encode("encode")
+        self.items = item.dictionary
+        own = item.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        kinds = max(len(self.items), 1)
+        pairs = np.unique(which.reshape(-1).astype(np.int64) * kinds + np.repeat(own, starts))
+        self.owner = pairs % kinds
+        self.owner_at = np.searchsorted(pairs, np.arange(len(self.word) + 1) * kinds)
+
+    def with_items(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(window, place) pairs once for each item of the window: windows, places, items."""
+        window, place = found
+        n = np.diff(self.owner_at)[window]
+        owner = self.owner[ragged(self.owner_at[window], n)]
+        return np.repeat(window, n), np.repeat(place, n), self.items.take(pa.array(owner))
 
 
 class Segment:
@@ -224,21 +273,31 @@ class Segment:
         return np.stack([live[row], hit])
 
 
-def _lists(doc: np.ndarray, n_docs: int, **fields: np.ndarray) -> pa.Array:
-    """A list of structs for each document, in the order of the fields."""
-    order = np.lexsort([*list(fields.values())[::-1], doc])
+def _lists(doc: np.ndarray, n_docs: int, item: pa.Array, **fields: np.ndarray) -> pa.Array:
+    """A list of structs for each document, in the order of the fields, then the item's."""
+    missing = np.asarray(item.is_null())
+    value = item.fill_null(0).to_numpy(zero_copy_only=False)
+    order = np.lexsort([value, missing, *list(fields.values())[::-1], doc])
     offsets = np.searchsorted(doc[order], np.arange(n_docs + 1)).astype(np.int32)
-    kinds = {"item": pa.int64()}
     values = pa.StructArray.from_arrays(
-        [pa.array(v[order], kinds.get(k, pa.int32())) for k, v in fields.items()],
-        names=list(fields))
+        [pa.array(v[order], pa.int32()) for v in fields.values()]
+        + [pa.array(value[order], pa.int64(), mask=missing[order])], names=[*fields, "item"])
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
-def _search_block(index: DataFrame, rows: list[tuple[int, bytes]], window: int,
-                  near: int | None) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, window: int = 10, near: int | None = None,
+           id_col: str = "item_id", text_col: str = "text",
+           block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Every indexed document with its matches: (segment, ordinal, doc_id,
+    n_words, phrases, near).  ``phrases`` holds (start, n, item) for each
+    occurrence of an item window, ``near`` (at, item) for proximity matches.
+
+    Each segment is searched for one block of windows after another (at most
+    about ``block_words`` words each), read from the shared folder."""
+    folder, blocks = window_blocks(items, window, id_col, text_col, block_words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(rows, window)
+        block, windows, turn = -1, None, range(blocks)
         for batch in batches:
             for k in range(batch.num_rows):
                 number, ids, n_words, words, counts, blob = (batch.column(c)[k] for c in range(6))
@@ -246,13 +305,24 @@ def _search_block(index: DataFrame, rows: list[tuple[int, bytes]], window: int,
                 n_words = n_words.values.to_numpy(zero_copy_only=False)
                 seg = Segment(n_words, words.values, counts.values.to_numpy(zero_copy_only=False),
                               blob.as_py())
-                phrases, close = seg.find(windows, near)
-                doc = seg.doc_of(phrases[1])
-                by_doc = _lists(doc, len(ids), start=phrases[1] - seg.first[doc],
-                                n=windows.length[phrases[0]], item=windows.item[phrases[0]])
-                doc = seg.doc_of(close[1])
-                near_by_doc = _lists(doc, len(ids), at=close[1] - seg.first[doc],
-                                     item=windows.item[close[0]])
+                phrases, close = [], []
+                for b in turn:
+                    if b != block:
+                        block, windows = b, Windows(read_block(folder, b), window)
+                    exact, around = seg.find(windows, near)
+                    which, start, item = windows.with_items(exact)
+                    phrases.append((start, windows.length[which], item))
+                    _, at, item = windows.with_items(around)
+                    close.append((at, item))
+                turn = turn[::-1]  # the next segment begins with the block at hand
+                start, n, item = (join(part) for join, part in zip(
+                    (np.concatenate, np.concatenate, pa.concat_arrays), zip(*phrases)))
+                doc = seg.doc_of(start)
+                by_doc = _lists(doc, len(ids), item, start=start - seg.first[doc], n=n)
+                at, item = (join(part) for join, part in zip(
+                    (np.concatenate, pa.concat_arrays), zip(*close)))
+                doc = seg.doc_of(at)
+                near_by_doc = _lists(doc, len(ids), item, at=at - seg.first[doc])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(ids), number.as_py())),
                      pa.array(np.arange(len(ids), dtype=np.int32)), ids,
@@ -262,35 +332,6 @@ def _search_block(index: DataFrame, rows: list[tuple[int, bytes]], window: int,
     return index.mapInArrow(run, MATCHES)
 
 
-def search(index: DataFrame, items: DataFrame, window: int = 10, near: int | None = None,
-           id_col: str = "item_id", text_col: str = "text",
-           block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every indexed document with its matches: (segment, ordinal, doc_id,
-    n_words, phrases, near).  ``phrases`` holds (start, n, item) for each
-    occurrence of an item window, ``near`` (at, item) for proximity matches.
-
-    Items are searched in blocks of at most ``block_words`` words, each
-    shipped to all tasks; the matches of several blocks are put together."""
-    words = stored(item_words(items, id_col, text_col, window), "item-words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_words))
-    found = []
-    for b in range(blocks):
-        own = words if blocks == 1 else words.where(
-            F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
-        rows = [(r.item, bytes(r.words)) for r in own.collect()]
-        found.append(_search_block(index, rows, window, near))
-    if blocks == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("segment", "ordinal").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("phrases"))).alias("phrases"),
-        F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-
-
 def covered(phrases: Column) -> Column:
     """Words inside any of the phrases (sorted by start)."""
     zero = F.struct(F.lit(0).alias("until"), F.lit(0).cast("long").alias("n"))
@@ -303,12 +344,14 @@ def covered(phrases: Column) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10,
                   near: int | None = None, id_col: str = "doc_id") -> DataFrame:
     """For each row of ``docs``: doc_id, n_words, n_hit (words inside an
-    occurrence of a window), items (ids with occurring windows, sorted as
+    occurrence of a window), items (ids with occurring windows, no null, sorted as
     strings), near_items, phrases, contaminated."""
     found = search(build_index(docs, id_col), items, window, near)
+    known = lambda matches: F.filter(
+        F.transform(matches, lambda m: m["item"]), lambda item: item.isNotNull())
     names = F.array_sort(F.array_distinct(F.transform(
-        "phrases", lambda p: p["item"].cast("string"))))
+        known("phrases"), lambda item: item.cast("string"))))
     return (found.withColumn("n_hit", covered(F.col("phrases"))).withColumn("items", names)
-            .withColumn("near_items", F.array_distinct(F.transform("near", lambda p: p["item"])))
+            .withColumn("near_items", F.array_distinct(known("near")))
             .select("doc_id", "n_words", "n_hit", "items", "near_items", "phrases",
                     (F.col("n_hit") > 0).alias("contaminated")))

@@ -43,7 +43,7 @@ def test_odd_rows_blocks_and_segments(spark, odd_docs, no_docs):
          (3, None), (4, ""), (None, "one two"), (5, "éclair. über"), (11, "word5 alpha5 word6 alpha6"),
          (12, " ".join(f"word{i % 977} alpha{i % 13}" for i in range(5_000)))],
         "item_id long, text string")
-    kept = [(r.item_id, r.text) for r in items.collect() if r.item_id is not None]
+    kept = [(r.item_id, r.text) for r in items.collect()]
     want = sorted(((-1 if d is None else d), n, h, tuple(i)) for d, n, h, i in plain(
         [(r.doc_id, r.text) for r in odd_docs.collect()], kept))
     for segment_words, block_words in ((1_000_000, 1_000_000), (50, 500)):
@@ -57,6 +57,30 @@ def test_odd_rows_blocks_and_segments(spark, odd_docs, no_docs):
     assert dc.contamination(odd_docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_items_without_an_id_count_as_hits(make_docs, spark):
+    docs = make_docs([(1, "a one two b", "s"), (2, "x y three", "s"), (3, "none", "s")])
+    items = spark.createDataFrame([(None, "one two"), (None, "three"), (7, "three"), (7, "three")],
+                                  "item_id long, text string")
+    rows = {r.doc_id: r for r in dc.contamination(docs, items, near=4).collect()}
+    assert [(rows[d].n_hit, rows[d].items, rows[d].near_items, rows[d].contaminated)
+            for d in (1, 2, 3)] == [(2, [], [], True), (1, ["7"], [7], True), (0, [], [], False)]
+    assert [tuple(p) for p in rows[2].phrases] == [(2, 1, 7), (2, 1, None)]
+
+
+def test_equal_windows_are_looked_up_once_and_blocks_stay_out_of_plans(spark, make_docs):
+    text = " ".join(f"w{i}" for i in range(12))
+    rows = dc.pa.table({"item": [1, 2, 3, None], "words": [dc.spaced_words(text.encode())] * 4})
+    windows = dc.Windows(rows, 10)
+    assert windows.word.shape == (3, 10) and len(windows.owner) == 12
+    docs = make_docs([(1, f"x {text} y {text}", "s")])
+    items = spark.createDataFrame([(i, text) for i in range(300)], "item_id long, text string")
+    for block_words in (1_000_000, 50):
+        row = dc.contamination(docs, items).first()
+        assert (row.n_hit, len(row["items"]), row.n_words) == (24, 300, 26)
+        found = dc.search(dc.build_index(docs), items, block_words=block_words).first()
+        assert len(found.phrases) == 2 * 3 * 300
+
+
 def test_proximity(spark, make_docs):
     docs = make_docs([(1, "alpha x x beta x gamma", "s"), (2, "gamma beta alpha", "s"),
                       (3, "alpha beta " + "x " * 50 + "gamma", "s"), (4, "alpha beta", "s"),
