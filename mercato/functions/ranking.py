@@ -76,3 +76,52 @@ def row_number_split(df: DataFrame, key: str, order: Sequence[str], name: str,
     return (local.join(offsets, [key, "_piece"])
             .withColumn(name, (F.col("_offset") + F.col("_local")).cast("int"))
             .drop("_piece", "_local", "_offset"))
+
+
+def rank_ranged(df: DataFrame, order: Sequence[tuple[str, bool]], name: str,
+                pieces: int | None = None) -> DataFrame:
+    """``rank() OVER (ORDER BY order)`` without sending all rows to one task.
+
+    ``order`` holds (column, descending) pairs; nulls come last, NaN above all numbers.
+
+    1. Range-partition on the order and a hash of the row: every piece is a run of
+       the order, and rows that tie, however many, span pieces too.
+    2. Rank within pieces, stored with ``checkpoint()``: both uses below must see
+       the same pieces.
+    3. One row for each piece gives its size, first and last values and how many rows hold the
+       last.  A piece's offset is the size of the earlier ones.  Values that a piece begins
+       with may have begun in an earlier one: then they are the last values of that piece,
+       and their rank is carried from where they start.
+
+    Runs one job when called (the checkpoint).  The summary is at most ``pieces``
+    rows, put in order in one array.
+    """
+    from mercato.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [desc(c) if down else asc(c) for c, down in order]
+    keys = F.struct(*(F.col(c).alias(f"k{i}") for i, (c, _) in enumerate(order)))
+    within = Window.partitionBy("_piece").orderBy(*by)
+    local = (df.withColumn("_salt", F.xxhash64(*df.columns)).repartitionByRange(n, *by, "_salt")
+             .withColumn("_piece", F.spark_partition_id()).drop("_salt")
+             .withColumn("_local", F.rank().over(within).cast("long")).withColumn("_keys", keys)
+             .checkpoint(eager=True))
+    ends = local.groupBy("_piece").agg(
+        F.count(F.lit(1)).alias("size"), F.min_by("_keys", "_local").alias("first"),
+        F.max("_local").alias("last_at"), F.max_by("_keys", "_local").alias("last"))
+    every = ends.agg(F.array_sort(F.collect_list(F.struct(
+        "_piece", "size", "last_at", "first", "last"))).alias("p"))
+    sizes = lambda p, i: F.aggregate(F.slice(p, 1, i), F.lit(0).cast("long"),
+                                     lambda total, e: total + e["size"])
+    offsets = every.select(F.transform("p", lambda e, i: F.struct(
+        e["_piece"].alias("_piece"), sizes(F.col("p"), i).alias("offset"), e["first"].alias("first"),
+        e["last"].alias("last"), e["last_at"].alias("last_at"))).alias("p"))
+    begun = lambda e: F.array_min(F.transform(
+        F.filter("p", lambda f: f["last"].eqNullSafe(e["first"])), lambda f: f["offset"] + f["last_at"]))
+    carried = offsets.select(F.explode(F.transform("p", lambda e: F.struct(
+        e["_piece"].alias("_piece"), e["offset"].alias("_offset"), e["first"].alias("_first"),
+        begun(e).alias("_begun")))).alias("e")).select("e.*")
+    rank = F.when(F.col("_keys").eqNullSafe(F.col("_first")) & F.col("_begun").isNotNull(),
+                  F.col("_begun")).otherwise(F.col("_offset") + F.col("_local"))
+    return (local.join(carried, "_piece").withColumn(name, rank)
+            .drop("_piece", "_local", "_keys", "_offset", "_first", "_begun"))

@@ -10,6 +10,9 @@ facts are aggregated to the product grain.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,17 @@ def one() -> Column:
     return F.count(F.lit(1))
 
 
+def per_order(t: Tables, part: Callable[[Tables], DataFrame]) -> DataFrame:
+    """``part(t)`` for rows that depend on the facts of one order each.
+
+    Co-located facts (``mercato.sources.staging.stage_colocated``) come in parts that
+    share no order: each part's rows are made apart, those of the bucketed part
+    without a shuffle on ``order_id``, and put together.
+    """
+    parts = getattr(t, "parts", None) or [t]
+    return reduce(DataFrame.unionByName, [part(p) for p in parts])
+
+
 def delivered_orders(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
     return orders.filter(F.col("order_status") == status)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from mercato.functions import (as_double, asc, desc, elapsed_days, rate_percent, ratio_units,
                                round_money, top_k_per_group, units_mean)
-from mercato.operators._shared import (CANCELED, EN, category_lookup, delivered_orders, one)
+from mercato.operators._shared import (CANCELED, EN, category_lookup, delivered_orders, one,
+                                       per_order)
 from mercato.sources import Tables
 
 # The labels of the flow report.
@@ -24,10 +25,12 @@ def _order_places(t: Tables, orders: DataFrame | None = None) -> DataFrame:
 
 def revenue_by_seller_state(t: Tables) -> DataFrame:
     """Delivered revenue per seller state."""
-    d = delivered_orders(t.orders).select("order_id")
-    per = t.items.groupBy("order_id", "seller_id").agg(F.sum("price").alias("rev"))
-    by_seller = per.join(d, "order_id", "left_semi").groupBy("seller_id").agg(
-        F.sum("rev").alias("rev"))
+    def rows(t: Tables) -> DataFrame:
+        d = delivered_orders(t.orders).select("order_id")
+        per = t.items.groupBy("order_id", "seller_id").agg(F.sum("price").alias("rev"))
+        return per.join(d, "order_id", "left_semi")
+
+    by_seller = per_order(t, rows).groupBy("seller_id").agg(F.sum("rev").alias("rev"))
     return (t.sellers.select("seller_id", "seller_state").join(by_seller, "seller_id")
             .groupBy("seller_state").agg(round_money(F.sum("rev")).alias("total_price"))
             .orderBy(desc("total_price"), asc("seller_state")))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions import (as_double, asc, desc, exact_mean, round_money, sentinel,
-                               top_k, week_label, year_month)
-from mercato.operators._shared import (EN, delivered_orders, one, pair_factor, review_stats,
-                                       with_category)
+from mercato.functions import (as_double, asc, desc, exact_mean, rank_ranged, round_money,
+                               sentinel, top_k, week_label, year_month)
+from mercato.operators._shared import (EN, delivered_orders, one, pair_factor, per_order,
+                                       review_stats, with_category)
 from mercato.sources import Tables
 
 
@@ -26,9 +26,12 @@ def top_products_delivered(t: Tables, k: int = 10) -> DataFrame:
     Orders ⟕ items ⟕ products ⟕ translation, grouped by product; delivered
     orders without items form a null product with count 0.
     """
-    d = delivered_orders(t.orders).select("order_id")
-    per = t.items.groupBy("order_id", "product_id").agg(F.count("product_id").alias("n"))
-    by_product = (d.join(per, "order_id", "left").groupBy("product_id")
+    def rows(t: Tables) -> DataFrame:
+        d = delivered_orders(t.orders).select("order_id")
+        per = t.items.groupBy("order_id", "product_id").agg(F.count("product_id").alias("n"))
+        return d.join(per, "order_id", "left")
+
+    by_product = (per_order(t, rows).groupBy("product_id")
                   .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_order_count")))
     out = with_category(by_product, t, translated="left", products="left").select(
         "product_id", EN, "total_order_count")
@@ -83,12 +86,15 @@ def category_payment_vs_price(t: Tables, k: int | None = 10, payments: str = "pe
     """
     if payments == "per_order":
         return _payments_per_order(t, k)
-    pay = t.payments.groupBy("order_id").agg(F.sum("payment_value").alias("pay_sum"),
-                                             one().alias("pay_rows"))
-    itm = t.items.groupBy("order_id", "product_id").agg(F.sum("price").alias("price_sum"),
-                                                        one().alias("item_rows"))
-    j = pay.join(itm, "order_id", "left")
-    by_product = j.groupBy("product_id").agg(
+
+    def rows(t: Tables) -> DataFrame:
+        pay = t.payments.groupBy("order_id").agg(F.sum("payment_value").alias("pay_sum"),
+                                                 one().alias("pay_rows"))
+        itm = t.items.groupBy("order_id", "product_id").agg(F.sum("price").alias("price_sum"),
+                                                            one().alias("item_rows"))
+        return pay.join(itm, "order_id", "left")
+
+    by_product = per_order(t, rows).groupBy("product_id").agg(
         F.sum(F.col("pay_sum") * F.coalesce(F.col("item_rows"), F.lit(1))).alias("v"),
         F.sum(F.col("price_sum") * F.col("pay_rows")).alias("p"))
     out = (with_category(by_product, t, translated="left", products="left")
@@ -193,10 +199,14 @@ def revenue_monthly(items_s: DataFrame, orders_s: DataFrame) -> DataFrame:
 
 def orders_revenue_monthly(t: Tables) -> DataFrame:
     """Item rows ("orders") and revenue per purchase month."""
-    per_order = t.items.groupBy("order_id").agg(one().alias("n"), F.sum("price").alias("rev"))
     ts = F.col("order_purchase_timestamp")
-    o = t.orders.select("order_id", F.year(ts).alias("year"), F.month(ts).alias("month"))
-    return (o.join(per_order, "order_id")
+
+    def rows(t: Tables) -> DataFrame:
+        per = t.items.groupBy("order_id").agg(one().alias("n"), F.sum("price").alias("rev"))
+        o = t.orders.select("order_id", F.year(ts).alias("year"), F.month(ts).alias("month"))
+        return o.join(per, "order_id")
+
+    return (per_order(t, rows)
             .groupBy("year", "month")
             .agg(F.sum("n").alias("total_orders"), as_double(F.sum("rev")).alias("total_revenue"))
             .orderBy("year", "month"))
@@ -217,12 +227,14 @@ def category_leaders(t: Tables, min_items: int = 500, min_reviews: int = 50,
     once per review row of its order.  The orders join of the source adds
     nothing (left join on its key) and is left out.
     """
-    itm = t.items.groupBy("order_id", "product_id").agg(
-        one().alias("item_rows"), F.count("order_item_id").alias("item_ids"),
-        F.sum("price").alias("price_sum"))
-    j = itm.join(review_stats(t.reviews), "order_id", "left")
+    def rows(t: Tables) -> DataFrame:
+        itm = t.items.groupBy("order_id", "product_id").agg(
+            one().alias("item_rows"), F.count("order_item_id").alias("item_ids"),
+            F.sum("price").alias("price_sum"))
+        return itm.join(review_stats(t.reviews), "order_id", "left")
+
     mult = pair_factor()
-    by_product = j.groupBy("product_id").agg(
+    by_product = per_order(t, rows).groupBy("product_id").agg(
         F.sum(F.col("item_ids") * mult).alias("items"),
         F.sum(F.col("price_sum") * mult).alias("rev"),
         F.sum(F.col("item_rows") * F.coalesce("rv_scores", F.lit(0))).alias("scores"),
@@ -235,22 +247,24 @@ def category_leaders(t: Tables, min_items: int = 500, min_reviews: int = 50,
                     F.sum("scores").alias("total_reviews_count"))
                .filter((F.col("total_items_sold") >= min_items)
                        & (F.col("total_reviews_count") >= min_reviews)))
-    # One row per category: a bounded input, so an unpartitioned rank is fine.
-    w = Window.orderBy(desc("average_review_score"), desc("total_reviews_count"))
-    ranked = metrics.withColumn("satisfaction_rank", F.rank().over(w)).select(
-        EN, "total_revenue", "total_items_sold", "average_review_score", "satisfaction_rank")
+    ranked = rank_ranged(metrics, [("average_review_score", True), ("total_reviews_count", True)],
+                         "satisfaction_rank").select(
+        EN, "total_revenue", "total_items_sold", "average_review_score",
+        F.col("satisfaction_rank").cast("int").alias("satisfaction_rank"))
     return top_k(ranked, k, [desc("total_revenue"), asc(EN)])
 
 
 def product_performance(t: Tables, k: int = 100) -> DataFrame:
     """Delivered, priced items per product with orders, revenue and
     review figures (each item counts once per review row of its order)."""
-    d = delivered_orders(t.orders).select("order_id")
-    itm = (t.items.filter(F.col("price") > 0).groupBy("order_id", "product_id")
-           .agg(one().alias("item_rows"), F.sum("price").alias("price_sum")))
-    j = itm.join(d, "order_id", "left_semi").join(review_stats(t.reviews), "order_id", "left")
+    def rows(t: Tables) -> DataFrame:
+        d = delivered_orders(t.orders).select("order_id")
+        itm = (t.items.filter(F.col("price") > 0).groupBy("order_id", "product_id")
+               .agg(one().alias("item_rows"), F.sum("price").alias("price_sum")))
+        return itm.join(d, "order_id", "left_semi").join(review_stats(t.reviews), "order_id", "left")
+
     n = F.col("item_rows")
-    by_product = j.groupBy("product_id").agg(
+    by_product = per_order(t, rows).groupBy("product_id").agg(
         one().alias("total_sales_count"),
         F.sum(F.col("price_sum") * pair_factor()).alias("rev"),
         F.sum(n * F.col("rv_score_sum")).alias("score_sum"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions import asc, desc, rate_percent, top_k
-from mercato.operators._shared import CANCELED, EN, delivered_orders, one, with_category
+from mercato.functions import asc, desc, rank_ranged, rate_percent, top_k
+from mercato.operators._shared import CANCELED, EN, delivered_orders, one, per_order, with_category
 from mercato.sources import Tables
 
 
@@ -34,26 +36,89 @@ def seller_category_mix(t: Tables, k: int = 50) -> DataFrame:
                           desc("items_in_this_category"), asc(EN)])
 
 
+def _seller_rows(t: Tables) -> DataFrame:
+    """(sale_year, sale_month, seller_id, n): item rows of a seller in a delivered order
+    with an approval time."""
+    ts = F.col("order_approved_at")
+
+    def rows(t: Tables) -> DataFrame:
+        o = (delivered_orders(t.orders).filter(ts.isNotNull())
+             .select("order_id", F.year(ts).alias("sale_year"), F.month(ts).alias("sale_month")))
+        per = t.items.groupBy("order_id", "seller_id").agg(one().alias("n"))
+        return o.join(per, "order_id")
+
+    return per_order(t, rows)
+
+
 def seller_activity_monthly(t: Tables) -> DataFrame:
     """Distinct sellers and item rows per approval month of delivered
     orders ("orders" counts item rows, as written)."""
-    ts = F.col("order_approved_at")
-    o = (delivered_orders(t.orders).filter(ts.isNotNull())
-         .select("order_id", F.year(ts).alias("sale_year"), F.month(ts).alias("sale_month")))
-    per = t.items.groupBy("order_id", "seller_id").agg(one().alias("n"))
-    return (o.join(per, "order_id").groupBy("sale_year", "sale_month")
+    return (_seller_rows(t).groupBy("sale_year", "sale_month")
             .agg(F.count_distinct("seller_id").alias("distinct_active_sellers"),
                  F.sum("n").alias("total_orders_approved_in_month"))
             .orderBy("sale_year", "sale_month"))
 
 
+def seller_months(t: Tables) -> DataFrame:
+    """(sale_year, sale_month, bucket, sellers, n): H07's months in a form that merges.
+
+    Sellers are numbered without gaps; ``sellers`` is the bitmap of those seen among the
+    numbers of ``bucket`` (32 768 each, 4 KB), ``n`` their item rows.  Rows without a seller
+    have a null bucket and an empty bitmap.  Stored once, it gives distinct sellers of
+    any set of months from a few rows for each month; numbers are of this table
+    alone.  Runs the job of :func:`mercato.functions.rank_ranged` when called.
+    """
+    ids = t.items.select("seller_id").where("seller_id IS NOT NULL").distinct()
+    numbers = rank_ranged(ids, [("seller_id", False)], "number")
+    seen = (_seller_rows(t).groupBy("sale_year", "sale_month", "seller_id").agg(F.sum("n").alias("n"))
+            .join(numbers, "seller_id", "left"))
+    return (seen.groupBy("sale_year", "sale_month", F.bitmap_bucket_number("number").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("sellers"),
+                 F.sum("n").alias("n")))
+
+
+def merged_activity(months: DataFrame, *period: Column, rows: str) -> DataFrame:
+    """Distinct sellers and item rows (named ``rows``) for each period of stored
+    :func:`seller_months`, exact for any period made of whole months."""
+    names = [f"_p{i}" for i in range(len(period))]
+    cut = months.select(*(p.alias(n) for p, n in zip(period, names)), "bucket", "sellers", "n")
+    merged = cut.groupBy(*names, "bucket").agg(
+        F.bitmap_or_agg("sellers").alias("sellers"), F.sum("n").alias("n"))
+    out = merged.groupBy(*names).agg(
+        F.sum(F.bitmap_count("sellers")).alias("distinct_active_sellers"), F.sum("n").alias(rows))
+    return out.orderBy(*names).select(
+        *(F.col(n).alias(out_name) for n, out_name in zip(names, _names(months, period))),
+        "distinct_active_sellers", rows)
+
+
+def _names(df: DataFrame, columns: Sequence[Column]) -> list[str]:
+    return df.select(*columns).columns
+
+
+def activity_by_month(months: DataFrame) -> DataFrame:
+    """H07 from stored bitmaps."""
+    return merged_activity(months, F.col("sale_year"), F.col("sale_month"),
+                           rows="total_orders_approved_in_month")
+
+
+def activity_by_quarter(months: DataFrame) -> DataFrame:
+    """H07's figures for each quarter: the months' bitmaps merged, no fact read again."""
+    quarter = F.ceil(F.col("sale_month") / 3).cast("int").alias("sale_quarter")
+    return merged_activity(months, F.col("sale_year"), quarter,
+                           rows="total_orders_approved_in_quarter")
+
+
 def category_volume_monthly(t: Tables) -> DataFrame:
     """Item rows per purchase month and English category (delivered)."""
     ts = F.col("order_purchase_timestamp")
-    o = delivered_orders(t.orders).select(
-        "order_id", F.year(ts).alias("sale_year"), F.month(ts).alias("sale_month"))
-    per = t.items.groupBy("order_id", "product_id").agg(F.count("order_item_id").alias("n"))
-    by_product = (o.join(per, "order_id")
+
+    def rows(t: Tables) -> DataFrame:
+        o = delivered_orders(t.orders).select(
+            "order_id", F.year(ts).alias("sale_year"), F.month(ts).alias("sale_month"))
+        per = t.items.groupBy("order_id", "product_id").agg(F.count("order_item_id").alias("n"))
+        return o.join(per, "order_id")
+
+    by_product = (per_order(t, rows)
                   .groupBy("sale_year", "sale_month", "product_id").agg(F.sum("n").alias("n")))
     return (with_category(by_product, t, translated="left")
             .groupBy("sale_year", "sale_month", EN)
@@ -62,8 +127,11 @@ def category_volume_monthly(t: Tables) -> DataFrame:
 
 
 def _seller_order_rows(t: Tables) -> DataFrame:
-    per = t.items.groupBy("order_id", "seller_id").agg(one().alias("n"))
-    return per.join(t.orders.select("order_id", "order_status"), "order_id")
+    def rows(t: Tables) -> DataFrame:
+        per = t.items.groupBy("order_id", "seller_id").agg(one().alias("n"))
+        return per.join(t.orders.select("order_id", "order_status"), "order_id")
+
+    return per_order(t, rows)
 
 
 def seller_cancellations(t: Tables, k: int = 10) -> DataFrame:

@@ -23,7 +23,7 @@ DELAYED_AS_OF = "2001-08-10"
 Report = Callable[[Tables, SparkSession], DataFrame]
 
 
-# Reports read the stored silver and score tables where the bundle has them
+# Reports read the stored silver, score and bitmap tables where the bundle has them
 # (see mercato.plans.materialize.with_derived), else the lazy forms.
 
 def _is(t: Tables) -> DataFrame:
@@ -42,6 +42,10 @@ def _scores(t: Tables) -> DataFrame:
     return t.scores if "scores" in t.names() else rfm.rfm_scores(t, as_of=RFM_AS_OF)
 
 
+def _sm(t: Tables) -> DataFrame:
+    return t.seller_months if "seller_months" in t.names() else sellers.seller_months(t)
+
+
 def _with_repeats(t: Tables) -> DataFrame:
     """Orders with every tenth one twice and every thirtieth three times."""
     o, k = t.orders, F.col("order_id")
@@ -110,7 +114,8 @@ REPORTS: dict[str, Report] = {
     # sellers
     "active_sellers": lambda t, s: sellers.active_sellers(t),
     "seller_category_mix": lambda t, s: sellers.seller_category_mix(t),
-    "seller_activity_monthly": lambda t, s: sellers.seller_activity_monthly(t),
+    "seller_activity_monthly": lambda t, s: sellers.activity_by_month(_sm(t)),
+    "seller_activity_quarterly": lambda t, s: sellers.activity_by_quarter(_sm(t)),
     "category_volume_monthly": lambda t, s: sellers.category_volume_monthly(t),
     "seller_cancellations": lambda t, s: sellers.seller_cancellations(t),
     "seller_cancellation_rate": lambda t, s: sellers.seller_cancellation_rate(t),

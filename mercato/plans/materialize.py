@@ -17,7 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.operators import quality, rfm
+from mercato.operators import quality, rfm, sellers
 from mercato.session import ensure_checkpoint_dir
 from mercato.sources import LazyTables, Tables, read_table, write_table
 
@@ -47,9 +47,10 @@ def store_scores(spark: SparkSession, scores: DataFrame, folder: str | None = No
 
 
 def with_derived(t: LazyTables, as_of: str) -> LazyTables:
-    """The bundle with the silver tables and the score table beside the sources; stage it to
-    store each of them once (:func:`mercato.sources.staging.stage_tables`)."""
+    """The bundle with the silver tables, the score table and the months' seller bitmaps beside
+    the sources; stage it to store each of them once (:func:`mercato.sources.staging.stage_tables`)."""
     return t.deriving(items_silver=lambda: quality.items_silver(t.items),
                       orders_silver=lambda: quality.orders_silver(t.orders),
                       reviews_silver=lambda: quality.reviews_silver(t.reviews),
-                      scores=lambda: rfm.rfm_scores(t, as_of=as_of))
+                      scores=lambda: rfm.rfm_scores(t, as_of=as_of),
+                      seller_months=lambda: sellers.seller_months(t))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, fields, replace
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 
@@ -52,6 +52,23 @@ class LazyTables:
     def names(self) -> list[str]:
         return list(self._makers)
 
+    @classmethod
+    def of_parts(cls, parts: Sequence["LazyTables"], shared: "LazyTables") -> "LazyTables":
+        """A bundle whose facts are cut into ``parts`` that share no order (kept as
+        ``parts``); each fact is the union of its parts, all else comes from ``shared``.
+        A copy with other tables has no parts."""
+        def whole(name: str) -> DataFrame:
+            return reduce(DataFrame.unionByName, [getattr(p, name) for p in parts])
+
+        facts = {n for p in parts for n in p.names()}
+        bundle = cls({n: partial(getattr, shared, n) for n in shared.names() if n not in facts}
+                     | {n: partial(whole, n) for n in facts})
+        bundle.parts = [LazyTables({n: partial(getattr, bundle, n) for n in bundle.names()
+                                    if n not in facts}
+                                   | {n: partial(getattr, p, n) for n in p.names()})
+                        for p in parts]
+        return bundle
+
     def with_(self, **frames: DataFrame) -> "LazyTables":
         own = {n: partial(getattr, self, n) for n in self._makers}
         return LazyTables(own | {n: (lambda f=f: f) for n, f in frames.items()})

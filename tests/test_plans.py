@@ -2,15 +2,14 @@
 windows, shuffle reuse."""
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from mercato.plans.inspect import explain_text, has_python, unpartitioned_windows
 
 QUERIES = {name: entry.queries()[name] for name in entry.REPORTS}
 
-# The only windows without PARTITION BY run over one row per category.
-GLOBAL_WINDOW_OK = {"category_leaders"}
-
 
 def _plan(spark, sf_dir, name):
     return explain_text(QUERIES[name](spark, sf_dir), "formatted")
@@ -21,12 +20,12 @@ def test_no_python_no_cartesian_no_unbounded_window(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     assert not has_python(df)
     assert "CartesianProduct" not in explain_text(df)
-    if name not in GLOBAL_WINDOW_OK:
-        assert unpartitioned_windows(df) == [], name
+    assert unpartitioned_windows(df) == [], name
 
 
 def test_global_window_detector(spark, sf_dir):
-    assert unpartitioned_windows(QUERIES["category_leaders"](spark, sf_dir))
+    whole = spark.range(9).withColumn("r", F.rank().over(Window.orderBy(F.desc("id"))))
+    assert unpartitioned_windows(whole)
     assert not unpartitioned_windows(QUERIES["top_categories_per_state"](spark, sf_dir))
 
 
