@@ -44,10 +44,20 @@ def desc(c: str) -> Column:
 
 
 
+#: Rows of a key above which it is numbered in pieces, and rows that one task sorts at most
+#: (about 100 bytes each, so that a sort stays in memory).
+HOT_KEY_ROWS, TASK_ROWS = 100_000, 500_000
+
+
 def row_number_split(df: DataFrame, key: str, order: Sequence[str], name: str,
-                     pieces: int | None = None) -> DataFrame:
+                     pieces: int | None = None, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """``row_number() OVER (PARTITION BY key ORDER BY order)`` without
-    sending a whole key group to one task.
+    sending a large key group to one task; rows with a null key are left out.
+
+    Keys with more than ``hot_rows`` rows are found by a count of each key and stored (at
+    most one for each ``hot_rows`` rows).  All other rows cross the network once, for
+    the plain window, in tasks of about ``TASK_ROWS`` rows.  The rows of hot keys alone
+    are numbered in pieces:
 
     1. Range-partition on ``(key, *order)``: a large group spans several
        partitions, each holding a contiguous run of its order.
@@ -58,13 +68,30 @@ def row_number_split(df: DataFrame, key: str, order: Sequence[str], name: str,
     4. Each piece's offset is the size of the key's earlier pieces (one row
        per piece, at most ``pieces`` per key), joined back on (key, piece).
 
-    Runs one job when called (the checkpoint).  Equal to the plain window
-    whenever ``order`` is a total order within the key.
+    Runs jobs when called (the counts; with hot keys the checkpoint).  Equal to the plain
+    window whenever ``order`` is a total order within the key.
     """
     from mercato.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, key, *order)
+    df = df.where(F.col(key).isNotNull())
+    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+           .select(key).checkpoint(eager=True))
+    tasks, n = -(-df.count() // TASK_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some_hot = not hot.isEmpty()
+    # a proven bound: one row for each ``hot_rows`` rows
+    rest = df.join(F.broadcast(hot), key, "left_anti") if some_hot else df
+    rest = rest.repartition(tasks, key) if tasks > n else rest
+    numbered = rest.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    if not some_hot:
+        return numbered
+    split = _numbered_in_pieces(df.join(F.broadcast(hot), key, "left_semi"), key, order, name,
+                                pieces or max(n, tasks))
+    return numbered.unionByName(split)
+
+
+def _numbered_in_pieces(df: DataFrame, key: str, order: Sequence[str], name: str,
+                        pieces: int) -> DataFrame:
+    ranged = (df.repartitionByRange(pieces, key, *order)
               .withColumn("_piece", F.spark_partition_id()))
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_piece", key).orderBy(*order)))
@@ -125,3 +152,22 @@ def rank_ranged(df: DataFrame, order: Sequence[tuple[str, bool]], name: str,
                   F.col("_begun")).otherwise(F.col("_offset") + F.col("_local"))
     return (local.join(carried, "_piece").withColumn(name, rank)
             .drop("_piece", "_local", "_keys", "_offset", "_first", "_begun"))
+
+
+def rank_in_groups(df: DataFrame, first: str, rest: Sequence[str], name: str) -> DataFrame:
+    """``rank() OVER (ORDER BY first DESC, rest DESC)``, nulls last, for a ``first`` of few
+    distinct values: ranks within each value, and the rows of greater values added.
+
+    Lazy; ``df`` is read twice.  The values and their row counts are put in order in one
+    array, the rows of one value in one task.
+    """
+    sizes = df.groupBy(F.col(first).alias("_value")).agg(F.count(F.lit(1)).alias("size"))
+    every = sizes.agg(F.sort_array(F.collect_list(F.struct("_value", "size")), asc=False).alias("p"))
+    offsets = every.select(F.explode(F.transform("p", lambda e, i: F.struct(
+        e["_value"].alias("_value"),
+        F.aggregate(F.slice("p", 1, i), F.lit(0).cast("long"), lambda n, f: n + f["size"])
+        .alias("_offset")))).alias("e")).select("e.*")
+    within = F.rank().over(Window.partitionBy(first).orderBy(*[desc(c) for c in rest]))
+    return (df.withColumn("_local", within)
+            .join(offsets, F.col(first).eqNullSafe(F.col("_value")))
+            .withColumn(name, F.col("_offset") + F.col("_local")).drop("_value", "_offset", "_local"))

@@ -91,25 +91,24 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
-    price = F.col("l_extendedprice").cast(MONEY_TYPE)
     renamed = li.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_shipdate").alias("shipping_limit_date"),
-        price.alias("price"),
-        F.round(price * F.col("l_tax").cast("decimal(4,2)"), 2).cast(MONEY_TYPE)
-        .alias("freight_value"),
-        "l_linenumber", "l_extendedprice", "l_quantity",
+        "l_linenumber", "l_extendedprice", "l_quantity", "l_tax",
     )
-    # Numbered without putting a whole order in one task: a single order may
-    # hold a large share of all item rows (runs one checkpoint job).
+    # Numbered without putting a whole order in one task where it is large: a single
+    # order may hold a large share of all item rows (runs jobs that count them).
     line_order = ["l_linenumber", "product_id", "seller_id", "l_extendedprice",
                   "shipping_limit_date", "l_quantity"]
     numbered = row_number_split(renamed, "order_id", line_order, "order_item_id")
+    price = F.col("l_extendedprice").cast(MONEY_TYPE)
     return numbered.select(
-        "order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date", "price",
-        "freight_value")
+        "order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date",
+        price.alias("price"),
+        F.round(price * F.col("l_tax").cast("decimal(4,2)"), 2).cast(MONEY_TYPE)
+        .alias("freight_value"))
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,37 @@ def test_row_number_split_matches_window_on_a_hot_key(spark):
     assert split.filter("k = -1").agg(F.max("rn")).first()[0] == 20000
 
 
+def test_row_number_split_moves_rows_of_small_keys_once(spark):
+    from mercato.functions.ranking import row_number_split
+    from mercato.plans.inspect import explain_text
+    df = spark.range(6000).select((F.col("id") % 1500).alias("k"), F.col("id").alias("v"))
+    split = row_number_split(df, "k", ["v"], "rn")
+    # neither stored rows nor a join: one exchange, from the source to the window
+    text = explain_text(split, "simple")
+    assert text.count("Exchange") == 1 and "Join" not in text and "ExistingRDD" not in text
+    assert sorted(split.collect()) == sorted((k, k + 1500 * i, i + 1)
+                                             for k in range(1500) for i in range(4))
+
+
+def test_row_number_split_of_hot_and_other_keys(spark, monkeypatch):
+    from pyspark.sql import Window
+    from mercato.functions import ranking
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") % 999).otherwise(-(F.col("id") % 3)).alias("k"),
+        (F.col("id") * 7919 % 30011).alias("v"))
+    pieced = []
+    real = ranking._numbered_in_pieces
+    monkeypatch.setattr(ranking, "_numbered_in_pieces",
+                        lambda df, *a: (pieced.append({r.k for r in df.select("k").distinct().collect()}),
+                                        real(df, *a))[1])
+    monkeypatch.setattr(ranking, "TASK_ROWS", 1000)
+    split = ranking.row_number_split(df, "k", ["v"], "rn", pieces=16, hot_rows=5000)
+    assert pieced == [{-1, -2}]
+    plain = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("v")))
+    assert sorted(plain.collect()) == sorted(split.collect())
+    assert split.schema == plain.schema
+
+
 def test_text_labels_ignore_the_session_zone(spark):
     from mercato.functions import timestamp_text, year_month
     old = spark.conf.get("spark.sql.session.timeZone")
