@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions import (as_double, asc, desc, exact_mean, rank_ranged, round_money,
+from mercato.functions import (as_double, asc, desc, exact_mean, rank_in_groups, round_money,
                                sentinel, top_k, week_label, year_month)
 from mercato.operators._shared import (EN, delivered_orders, one, pair_factor, per_order,
                                        review_stats, with_category)
@@ -247,8 +247,9 @@ def category_leaders(t: Tables, min_items: int = 500, min_reviews: int = 50,
                     F.sum("scores").alias("total_reviews_count"))
                .filter((F.col("total_items_sold") >= min_items)
                        & (F.col("total_reviews_count") >= min_reviews)))
-    ranked = rank_ranged(metrics, [("average_review_score", True), ("total_reviews_count", True)],
-                         "satisfaction_rank").select(
+    # a score of two decimals has at most 401 values
+    ranked = rank_in_groups(metrics, "average_review_score", ["total_reviews_count"],
+                            "satisfaction_rank").select(
         EN, "total_revenue", "total_items_sold", "average_review_score",
         F.col("satisfaction_rank").cast("int").alias("satisfaction_rank"))
     return top_k(ranked, k, [desc("total_revenue"), asc(EN)])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mercato.functions import asc, desc, rank_ranged
+from mercato.functions import asc, desc, rank_in_groups, rank_ranged
 from mercato.operators import sellers
 from mercato.plans.inspect import explain_text, unpartitioned_windows
 from tests.fixtures import item, make_tables, order
@@ -42,6 +42,17 @@ def test_rank_of_odd_rows(spark):
     assert rank_ranged(df.where("a = 7"), [("a", True)], "r", 4).count() == 0
 
 
+def test_rank_in_groups(spark):
+    df = spark.range(3000).select(
+        "id", F.when(F.col("id") % 13 != 0, F.xxhash64("id") % 7 / 4).alias("a"),
+        F.when(F.col("id") % 11 != 0, F.xxhash64("id", F.lit(1)) % 5).alias("b"))
+    got = rank_in_groups(df, "a", ["b"], "r")
+    assert unpartitioned_windows(got) == []
+    assert sorted(got.select("id", "r").collect()) == sorted(
+        _plain(df, [("a", True), ("b", True)]).select("id", "r").collect())
+    assert rank_in_groups(df.where("a = 77"), "a", ["b"], "r").count() == 0
+
+
 def test_months_merge_into_quarters(spark):
     t = make_tables(
         spark, orders=[order("o1", approved="2018-01-02 00:00:00"), order("o2", approved="2018-02-02 00:00:00"),
