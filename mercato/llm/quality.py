@@ -1,12 +1,18 @@
 """Quality scores from preference pairs, Bradley-Terry (operator 6).
 
 Each document gets a vector of text statistics (shares of character classes and
-single punctuation marks, word repetition, capitals, line shape).  From a bounded
-sample of labelled documents, seeded pairs of one good and one bad document are
-drawn; logistic loss on the feature differences gives the weights
-of a linear score, so that the better of a pair scores higher.  The threshold is
-the quantile of the sample's scores at its share of bad documents; the
-reported score is a logistic curve around it, so 0.5 is the threshold.
+single punctuation marks, word repetition, capitals, line shape).  Logistic loss on
+the feature differences of all pairs of one good and one bad labelled document that is
+not held out gives the weights of a linear score, so that the better of a pair
+scores higher.  The threshold is the exact quantile of those documents' scores at their
+share of bad ones; the reported score is a logistic curve around it, so 0.5 is
+the threshold.
+
+All pairs are counted in time linear in the documents: a pair's weight depends on its two
+scores alone, so documents of one class and nearly one score (bins of 1/32, at
+their mean score) enter as a sum.  Each Newton step is two passes of Spark over the
+stored statistics of the labelled documents; the driver holds sums of bins only.  Sums are
+of integers (units of 2^-24), so that they do not depend on the order of rows.
 
 Defined cases: null and empty texts have all-zero statistics and a score
 like any other; repeated rows give repeated results; with one class or no
@@ -17,7 +23,7 @@ label) are read.
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercato.functions import rank_ranged
 from mercato.llm.common import chunks, labelled, stored, text_bytes
 
-#: Labelled documents learnt from, and preference pairs drawn of them, at most.
-MAX_LABELLED, MAX_PAIRS = 20_000, 60_000
+#: Score bins per unit, the score beyond which bins end, and bins of a class.
+FINE, FAR = 32, 30
+BINS = 2 * FINE * FAR + 1
+#: Fixed point of sums over documents.
+UNIT = 2.0 ** 24
 MARKS = string.punctuation
 
 
@@ -110,52 +120,151 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (raw - self.threshold), -30, 30)))
 
 
-def bradley_terry(x: np.ndarray, label: np.ndarray, pairs: int = MAX_PAIRS, steps: int = 300,
-                  decay: float = 1e-3, seed: int = 1) -> Model | None:
-    """Fit on features and 0/1 labels; None without both classes."""
-    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not len(good) or not len(bad):
+#: Rows of sums for a batch of statistics and labels: (their numbers, the sums).
+Part = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _by_number(number: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``values`` rows that share a number."""
+    if not len(number):
+        return number, values
+    order = np.argsort(number, kind="stable")
+    number = number[order]
+    start = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+    return number[start], np.add.reduceat(values[order], start, axis=0)
+
+
+def _fit(total: Callable[[Part, int, int], np.ndarray], middle: Callable[[Callable, int, int], float],
+         width: int, steps: int, decay: float) -> Model | None:
+    """The model of rows of ``width`` statistics with 0/1 labels, of which
+    ``total(part, n, m)`` gives ``n`` rows of ``m`` sums and ``middle(raw, k, n)`` the
+    middle between the ``k``-th smallest of ``n`` raw scores and the next; None
+    without both classes."""
+    one_row = lambda *cols: (np.zeros(1, int), np.concatenate(cols)[None])
+    first = total(lambda x, y: one_row([len(y), (y == 1).sum(), (y == 0).sum()], x.sum(0)), 1, width + 3)[0]
+    n, good, bad = (round(v) for v in first[:3])
+    if not good or not bad:
         return None
-    rng = np.random.default_rng(seed)
-    mean, scale = x.mean(0), x.std(0)
-    z = (x - mean) / np.where(scale > 1e-6, scale, 1.0)
-    z[:, scale <= 1e-6] = 0
-    diff = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    # Newton steps on the pairwise logistic loss
-    w = np.zeros(x.shape[1])
-    for _ in range(min(steps, 25)):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))  # chance that the pair is wrong
-        grad = -diff.T @ p / pairs + decay * w
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff / pairs + decay * np.eye(len(w))
+    mean = first[3:] / n
+    scale = np.sqrt(total(lambda x, y: one_row(((x - mean) ** 2).sum(0)), 1, width)[0] / n)
+    flat = scale <= 1e-6
+    scale = np.where(flat, 1.0, scale)
+
+    def paired(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scaled statistics of rows of either class, and their bins (bad ones first)."""
+        x, y = x[(y == 0) | (y == 1)], y[(y == 0) | (y == 1)]
+        z = (x - mean) / scale
+        z[:, flat] = 0
+        near = np.clip(np.rint(z @ w * FINE), -FINE * FAR, FINE * FAR).astype(int)
+        return z, near + FINE * FAR + BINS * (y == 1)
+
+    def binned(x, y, w):
+        z, at = paired(x, y, w)
+        return _by_number(at, np.column_stack([np.ones(len(z)), z]))
+
+    def curved(x, y, w, weight):
+        z, at = paired(x, y, w)
+        return np.arange(width), (z * weight[at][:, None]).T @ z
+
+    w = np.zeros(width)
+    for _ in range(steps):
+        sums = total(lambda x, y: binned(x, y, w), 2 * BINS, width + 1)
+        at = np.flatnonzero(sums[:, 0] > 0.5)
+        count, z = sums[at, 0], sums[at, 1:]
+        b, g = at < BINS, at >= BINS
+        score = z @ w / count
+        # chance that a pair is wrong, for each bin of good and of bad documents
+        p = 1 / (1 + np.exp(np.clip(score[g][:, None] - score[b], -30, 30)))
+        share = p @ count[b] / bad, count[g] @ p / good
+        grad = share[1] @ z[b] / bad - share[0] @ z[g] / good + decay * w
+        q = p * (1 - p)
+        weight = np.zeros(2 * BINS)
+        weight[at[g]], weight[at[b]] = q @ count[b] / bad, count[g] @ q / bad
+        cross = z[g].T @ q @ z[b] / bad
+        outer = total(lambda x, y: curved(x, y, w, weight), width, width)
+        hess = (outer - cross - cross.T) / good + decay * np.eye(width)
         step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        w = w - step
+        if grad @ step < 1e-9:  # twice what the loss can still fall by
             break
-    raw = z @ w
-    order = np.sort(raw)
-    cut = len(bad)
-    threshold = float((order[cut - 1] + order[min(cut, len(order) - 1)]) / 2)
-    spread = float(np.abs(raw - threshold).mean()) or 1.0
-    return Model(mean, np.where(scale > 1e-6, scale, 1.0), w, threshold, 4 / spread)
+
+    def raw(x: np.ndarray) -> np.ndarray:
+        return ((x - mean) / scale) @ w
+
+    threshold = middle(raw, bad, n)
+    spread = float(total(lambda x, y: one_row([np.abs(raw(x) - threshold).sum()]), 1, 1)[0, 0]) / n
+    return Model(mean, scale, w, threshold, 4 / (spread or 1.0))
+
+
+def bradley_terry(x: np.ndarray, label: np.ndarray, steps: int = 25,
+                  decay: float = 1e-3) -> Model | None:
+    """Fit on features and 0/1 labels; None without both classes."""
+    def total(part: Part, n: int, m: int) -> np.ndarray:
+        out = np.zeros((n, m))
+        at, sums = part(x, label)
+        out[at] = sums
+        return out
+
+    def middle(raw: Callable, k: int, n: int) -> float:
+        order = np.sort(raw(x))
+        return float((order[k - 1] + order[min(k, n - 1)]) / 2)
+
+    return _fit(total, middle, x.shape[1], steps, decay)
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and labels of a batch of (label, x) rows."""
+    x = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+    return (x.reshape(batch.num_rows, -1).astype(float),
+            batch.column(0).to_numpy(zero_copy_only=False))
+
+
+def bradley_terry_rows(rows: DataFrame, steps: int = 25, decay: float = 1e-3) -> Model | None:
+    """:func:`bradley_terry` on all of ``rows`` (label, x), however many."""
+    def total(part: Part, n: int, m: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out, seen = np.zeros((n, m)), np.zeros(n, bool)
+            for batch in batches:
+                if batch.num_rows:
+                    at, sums = part(*_arrays(batch))
+                    out[at] += sums
+                    seen[at] = True
+            at = np.flatnonzero(seen)
+            cell = (at[:, None] * m + np.arange(m)).ravel()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell), pa.array(np.rint(out[at].ravel() * UNIT).astype(np.int64))],
+                names=["cell", "units"])
+
+        sums = (rows.mapInArrow(run, "cell long, units long").groupBy("cell")
+                .agg(F.sum("units").alias("units")).toArrow())  # at most ``n * m`` rows
+        out = np.zeros(n * m)
+        out[sums["cell"].to_numpy()] = sums["units"].to_numpy() / UNIT
+        return out.reshape(n, m)
+
+    def middle(raw: Callable, k: int, n: int) -> float:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(raw(_arrays(batch)[0]))], names=["raw"])
+
+        ranked = rank_ranged(rows.mapInArrow(run, "raw double"), [("raw", False)], "at")
+        low, high = ranked.agg(F.max(F.when(F.col("at") <= k, F.col("raw"))),
+                               F.max(F.when(F.col("at") <= min(k + 1, n), F.col("raw")))).first()
+        return (low + high) / 2
+
+    return _fit(total, middle, statistics([b""]).shape[1], steps, decay)
 
 
-def quality(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1,
-            max_labelled: int = MAX_LABELLED) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1) -> DataFrame:
     """Scores of all ``docs``, learnt from the rows of ``labels`` (doc_id,
     quality) that are not held out: (doc_id, held_out, score, predicted)."""
     every = stored(features(docs), "quality-features")
-    chosen = (labelled(labels, "quality", mod, held, train=True)
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toDF("id", "label"))
-    # at most ``max_labelled`` rows: of several texts of an id the one with the smallest features
-    rows = (every.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("x").alias("x"))
-            .select("label", "x").toArrow())
-    model = None
-    if rows.num_rows:
-        flat = rows["x"].combine_chunks().flatten().to_numpy()
-        # by value, so that the fit does not depend on the order rows arrive in
-        data = np.column_stack([rows["label"].to_numpy(), flat.reshape(rows.num_rows, -1)])
-        data = data[np.lexsort(data.T[::-1])].astype(float)
-        model = bradley_terry(data[:, 1:], data[:, 0].astype(int))
+    chosen = labelled(labels, "quality", mod, held, train=True).toDF("id", "label")
+    # of several texts of an id the one with the smallest features
+    rows = (every.join(chosen, "id").groupBy("id", "label").agg(F.min("x").alias("x"))
+            .sortWithinPartitions("id").select("label", "x"))
+    rows = stored(rows, "quality-labelled")
+    model = bradley_terry_rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

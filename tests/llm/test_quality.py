@@ -30,6 +30,37 @@ def test_pairs_order_documents():
     assert quality.bradley_terry(x, np.ones(400, int)) is None
 
 
+def test_every_pair_counts():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    label = (x @ [1, -1, 0.5, 0] + rng.normal(0, 1, 300) > 0).astype(int)
+    model = quality.bradley_terry(x, label, decay=1e-2)
+    z = (x - model.mean) / model.scale
+    pairs = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, 4)
+    wrong = 1 / (1 + np.exp(pairs @ model.weights))
+    # the gradient of the loss over all pairs vanishes
+    assert np.abs(1e-2 * model.weights - pairs.T @ wrong / len(pairs)).max() < 1e-4
+
+
+def test_every_labelled_document_counts(spark):
+    # more labelled documents than the 20 000 that a fit once took
+    n = 30_000
+    docs = spark.range(n).selectExpr(
+        "id AS doc_id", "CASE WHEN id % 3 = 0 THEN repeat('A!', int(id % 7) + 1) "
+        "ELSE concat('some words ', repeat('ab ', int(id % 11))) END AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 > 0) AS quality")
+    every = quality.features(docs).join(labels.withColumnRenamed("doc_id", "id"), "id")
+    rows = every.selectExpr("quality AS label", "x")
+    got = quality.bradley_terry_rows(rows)
+    data = rows.toArrow()
+    x = data["x"].combine_chunks().flatten().to_numpy().reshape(n, -1).astype(float)
+    want = quality.bradley_terry(x, data["label"].to_numpy())
+    assert np.allclose(got.mean, x.mean(0), atol=1e-6) and np.allclose(got.weights, want.weights, atol=1e-3)
+    assert np.isclose(got.threshold, want.threshold, atol=1e-3)
+    again = quality.bradley_terry_rows(rows.repartition(3).sortWithinPartitions("x", "label"))
+    assert np.allclose(again.weights, got.weights, atol=1e-3)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(i, int(i > 5)) for i in range(12)] + [(None, 1), (3, None), (4, 0)],
                                    "doc_id long, quality int")
