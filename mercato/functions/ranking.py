@@ -83,7 +83,10 @@ def row_number_split(df: DataFrame, key: str, order: Sequence[str], name: str,
     rest = rest.repartition(tasks, key) if tasks > n else rest
     numbered = rest.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     if not some_hot:
-        return numbered
+        # a union all the same: a later step per key then limits its rows before a shuffle of its own
+        none = [F.col(f.name) if f.name == key else F.lit(None).cast(f.dataType).alias(f.name)
+                for f in numbered.schema.fields]
+        return numbered.unionByName(hot.select(none))
     split = _numbered_in_pieces(df.join(F.broadcast(hot), key, "left_semi"), key, order, name,
                                 pieces or max(n, tasks))
     return numbered.unionByName(split)
