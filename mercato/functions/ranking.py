@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.functions.spreading import HOT_KEY_ROWS, TASK_ROWS, large_keys
+
 OrderSpec = Sequence[Column | str]
 
 
@@ -44,17 +46,12 @@ def desc(c: str) -> Column:
 
 
 
-#: Rows of a key above which it is numbered in pieces, and rows that one task sorts at most
-#: (about 100 bytes each, so that a sort stays in memory).
-HOT_KEY_ROWS, TASK_ROWS = 100_000, 500_000
-
-
 def row_number_split(df: DataFrame, key: str, order: Sequence[str], name: str,
                      pieces: int | None = None, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """``row_number() OVER (PARTITION BY key ORDER BY order)`` without
     sending a large key group to one task; rows with a null key are left out.
 
-    Keys with more than ``hot_rows`` rows are found by a count of each key and stored (at
+    Keys with more than ``hot_rows`` rows are found by counts (``large_keys``) and stored (at
     most one for each ``hot_rows`` rows).  All other rows cross the network once, for
     the plain window, in tasks of about ``TASK_ROWS`` rows.  The rows of hot keys alone
     are numbered in pieces:
@@ -74,8 +71,7 @@ def row_number_split(df: DataFrame, key: str, order: Sequence[str], name: str,
     from mercato.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     df = df.where(F.col(key).isNotNull())
-    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-           .select(key).checkpoint(eager=True))
+    hot = large_keys(df, key, hot_rows).checkpoint(eager=True)
     tasks, n = -(-df.count() // TASK_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some_hot = not hot.isEmpty()
     # a proven bound: one row for each ``hot_rows`` rows

@@ -10,12 +10,13 @@ facts are aggregated to the product grain.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mercato.functions import spread, spread_plan
 from mercato.sources import Tables
 
 DELIVERED = "delivered"
@@ -27,14 +28,21 @@ def one() -> Column:
     return F.count(F.lit(1))
 
 
-def per_order(t: Tables, part: Callable[[Tables], DataFrame]) -> DataFrame:
+def per_order(t: Tables, part: Callable[[Tables], DataFrame], facts: Sequence[str] = ()) -> DataFrame:
     """``part(t)`` for rows that depend on the facts of one order each.
 
     Co-located facts (``mercato.sources.staging.stage_colocated``) come in parts that
     share no order: each part's rows are made apart, those of the bucketed part
-    without a shuffle on ``order_id``, and put together.
+    without a shuffle on ``order_id``, and put together.  Of other bundles ``facts``, the
+    tables with an ``order_id`` that ``part`` reads, are cut in the same way where they are large
+    (``mercato.functions.spreading``; this counts them).
     """
-    parts = getattr(t, "parts", None) or [t]
+    parts = getattr(t, "parts", None)
+    if not parts and facts:
+        plan = spread_plan([getattr(t, n) for n in facts], "order_id")
+        cut = [spread(getattr(t, n), "order_id", plan) for n in facts]
+        parts = [t.with_(**dict(zip(facts, frames))) for frames in zip(*cut)]
+    parts = parts or [t]
     return reduce(DataFrame.unionByName, [part(p) for p in parts])
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions import asc, desc, rank_ranged, rate_percent, top_k
+from mercato.functions import asc, desc, rank_ranged, rate_percent, spread, spread_plan, top_k
 from mercato.operators._shared import CANCELED, EN, delivered_orders, one, per_order, with_category
 from mercato.sources import Tables
 
@@ -47,7 +48,7 @@ def _seller_rows(t: Tables) -> DataFrame:
         per = t.items.groupBy("order_id", "seller_id").agg(one().alias("n"))
         return o.join(per, "order_id")
 
-    return per_order(t, rows)
+    return per_order(t, rows, ("orders", "items"))
 
 
 def seller_activity_monthly(t: Tables) -> DataFrame:
@@ -70,8 +71,10 @@ def seller_months(t: Tables) -> DataFrame:
     """
     ids = t.items.select("seller_id").where("seller_id IS NOT NULL").distinct()
     numbers = rank_ranged(ids, [("seller_id", False)], "number")
-    seen = (_seller_rows(t).groupBy("sale_year", "sale_month", "seller_id").agg(F.sum("n").alias("n"))
-            .join(numbers, "seller_id", "left"))
+    seen = reduce(DataFrame.unionByName, [
+        p.groupBy("sale_year", "sale_month", "seller_id").agg(F.sum("n").alias("n"))
+        .join(numbers, "seller_id", "left")
+        for p in spread(_seller_rows(t), "seller_id", spread_plan([t.items], "seller_id"))])
     return (seen.groupBy("sale_year", "sale_month", F.bitmap_bucket_number("number").alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("sellers"),
                  F.sum("n").alias("n")))
@@ -118,7 +121,7 @@ def category_volume_monthly(t: Tables) -> DataFrame:
         per = t.items.groupBy("order_id", "product_id").agg(F.count("order_item_id").alias("n"))
         return o.join(per, "order_id")
 
-    by_product = (per_order(t, rows)
+    by_product = (per_order(t, rows, ("orders", "items"))
                   .groupBy("sale_year", "sale_month", "product_id").agg(F.sum("n").alias("n")))
     return (with_category(by_product, t, translated="left")
             .groupBy("sale_year", "sale_month", EN)
@@ -131,7 +134,7 @@ def _seller_order_rows(t: Tables) -> DataFrame:
         per = t.items.groupBy("order_id", "seller_id").agg(one().alias("n"))
         return per.join(t.orders.select("order_id", "order_status"), "order_id")
 
-    return per_order(t, rows)
+    return per_order(t, rows, ("orders", "items"))
 
 
 def seller_cancellations(t: Tables, k: int = 10) -> DataFrame:
