@@ -13,12 +13,13 @@ found from the running sums of the few distinct values between the bounds.
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions import as_double, asc, top_k
-from mercato.operators._shared import delivered_orders
+from mercato.functions import as_double, asc, spread, spread_plan, top_k
+from mercato.operators._shared import delivered_orders, per_order
 from mercato.sources import Tables
 
 FIFTHS = (1, 2, 3, 4)
@@ -42,17 +43,24 @@ OTHER = "Diger"
 def rfm_metrics(t: Tables, as_of: str | _dt.date | None = None,
                 grain: str = "customer_id") -> DataFrame:
     """Recency (days), frequency (orders), monetary (decimal) per ``grain``."""
-    o = delivered_orders(t.orders).select("order_id", "customer_id", "order_purchase_timestamp")
-    if grain != "customer_id":
-        o = o.join(t.customers.select("customer_id", grain), "customer_id")
-    per = t.items.groupBy("order_id").agg(F.sum("price").alias("rev"))
+    def rows(t: Tables) -> DataFrame:
+        o = delivered_orders(t.orders).select("order_id", "customer_id", "order_purchase_timestamp")
+        per = t.items.groupBy("order_id").agg(F.sum("price").alias("rev"))
+        return o.join(per, "order_id")
+
+    orders = per_order(t, rows, ("orders", "items"))
+    if grain == "customer_id":
+        parts = spread(orders, grain, spread_plan([t.orders], grain))
+    else:
+        parts = [orders.join(t.customers.select("customer_id", grain), "customer_id")]
     today = F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")
     # One row per order here (items pre-aggregated, order_id audited as the
     # orders key), so COUNT(DISTINCT order_id) is a plain count: no extra shuffle.
-    return (o.join(per, "order_id").groupBy(grain)
-            .agg(F.datediff(today, F.to_date(F.max("order_purchase_timestamp"))).alias("recency"),
-                 F.count("order_id").alias("frequency"),
-                 F.sum("rev").alias("monetary")))
+    return reduce(DataFrame.unionByName, [
+        p.groupBy(grain)
+        .agg(F.datediff(today, F.to_date(F.max("order_purchase_timestamp"))).alias("recency"),
+             F.count("order_id").alias("frequency"),
+             F.sum("rev").alias("monetary")) for p in parts])
 
 
 def _sketched(metrics: DataFrame, columns: dict[str, Column], accuracy: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions import spread, spread_plan, spreading
 from mercato.functions.spreading import large_keys
-from mercato.operators import sellers
+from mercato.operators import rfm, sellers
 from mercato.plans.inspect import explain_text
 from tests.fixtures import item, make_tables, order
 
@@ -42,6 +42,8 @@ QUERIES = {
     "seller_activity_monthly": sellers.seller_activity_monthly,
     "category_volume_monthly": sellers.category_volume_monthly,
     "seller_cancellation_rate": lambda t: sellers.seller_cancellation_rate(t, 1, 10_000),
+    "rfm_metrics": lambda t: rfm.rfm_metrics(t, "2019-01-01"),
+    "rfm_scores": lambda t: rfm.rfm_scores(t, "2019-01-01"),
 }
 
 
@@ -61,7 +63,8 @@ def test_same_rows_in_more_tasks(spark, shop, name, monkeypatch):
 
 def test_tasks_grow_with_the_rows(spark, shop, small_tasks):
     # before: every shuffle had the session's number of partitions, whatever the rows
-    for df in (sellers.seller_months(shop), sellers.category_volume_monthly(shop)):
+    for df in (sellers.seller_months(shop), sellers.category_volume_monthly(shop),
+               rfm.rfm_metrics(shop, "2019-01-01")):
         assert ", 31), REPARTITION_BY_NUM" in explain_text(df, "simple")
 
 
