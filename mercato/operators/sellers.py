@@ -23,16 +23,23 @@ def active_sellers(t: Tables) -> DataFrame:
 def seller_category_mix(t: Tables, k: int = 50) -> DataFrame:
     """Item rows per seller and category, with the seller's total items
     and number of (non-null) categories."""
-    by_sp = t.items.groupBy("seller_id", "product_id").agg(F.count("order_item_id").alias("n"))
-    by_cat = (with_category(by_sp, t, translated="left", products="left")
-              .groupBy("seller_id", EN).agg(F.sum("n").alias("items_in_this_category")))
-    mix = t.sellers.select("seller_id", "seller_state").join(by_cat, "seller_id")
+    by_sp = [p.groupBy("seller_id", "product_id").agg(F.count("order_item_id").alias("n"))
+             for p in spread(t.items, "product_id", spread_plan([t.items], "product_id"))]
+    named = reduce(DataFrame.unionByName, [with_category(p, t, translated="left", products="left")
+                                           .select("seller_id", EN, "n") for p in by_sp])
     # At most one row per category within a seller: small window partitions.
     w = Window.partitionBy("seller_id")
-    out = mix.select(
-        "seller_id", "seller_state", EN, "items_in_this_category",
-        F.sum("items_in_this_category").over(w).alias("total_items_by_seller"),
-        F.count(EN).over(w).alias("total_categories_by_seller"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        by_cat = rows.groupBy("seller_id", EN).agg(F.sum("n").alias("items_in_this_category"))
+        mix = t.sellers.select("seller_id", "seller_state").join(by_cat, "seller_id")
+        return mix.select(
+            "seller_id", "seller_state", EN, "items_in_this_category",
+            F.sum("items_in_this_category").over(w).alias("total_items_by_seller"),
+            F.count(EN).over(w).alias("total_categories_by_seller"))
+
+    sellers = spread(named, "seller_id", spread_plan([t.items], "seller_id"))
+    out = reduce(DataFrame.unionByName, [mixed(p) for p in sellers])
     return top_k(out, k, [desc("total_items_by_seller"), asc("seller_id"),
                           desc("items_in_this_category"), asc(EN)])
 

@@ -40,6 +40,7 @@ def shop(spark):
 QUERIES = {
     "seller_months": lambda t: sellers.activity_by_quarter(sellers.seller_months(t)),
     "seller_activity_monthly": sellers.seller_activity_monthly,
+    "seller_category_mix": lambda t: sellers.seller_category_mix(t, 10_000),
     "category_volume_monthly": sellers.category_volume_monthly,
     "seller_cancellation_rate": lambda t: sellers.seller_cancellation_rate(t, 1, 10_000),
     "rfm_metrics": lambda t: rfm.rfm_metrics(t, "2019-01-01"),
@@ -64,7 +65,7 @@ def test_same_rows_in_more_tasks(spark, shop, name, monkeypatch):
 def test_tasks_grow_with_the_rows(spark, shop, small_tasks):
     # before: every shuffle had the session's number of partitions, whatever the rows
     for df in (sellers.seller_months(shop), sellers.category_volume_monthly(shop),
-               rfm.rfm_metrics(shop, "2019-01-01")):
+               rfm.rfm_metrics(shop, "2019-01-01"), sellers.seller_category_mix(shop)):
         assert ", 31), REPARTITION_BY_NUM" in explain_text(df, "simple")
 
 
