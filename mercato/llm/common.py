@@ -9,8 +9,9 @@ in the rows of a finished Spark write are ever read.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,25 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def give_back() -> None:
+    """Hand memory that this process has freed back to the system: the allocators
+    of Arrow and of the C library (glibc) keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` over a task's batches, then :func:`give_back`: a Python worker lives on
+    beside the tasks of later steps, and would hold the most it ever needed."""
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidy
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text of an Arrow column; null is empty."""
     return column.cast(pa.binary()).fill_null(b"").to_pylist()
@@ -91,7 +111,9 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if not total:
         return np.empty(0, np.int64)
     first = np.cumsum(counts) - counts
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - first, counts)
+    at = np.repeat(starts - first, counts)
+    at += np.arange(total, dtype=np.int64)
+    return at
 
 
 def labelled(labels: DataFrame, label: str, mod: int, held: int, train: bool) -> DataFrame:

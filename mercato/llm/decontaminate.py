@@ -37,7 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import (discard, file_system, ragged, shared_folder, stored, text_bytes)
+from mercato.llm.common import (discard, file_system, giving_back, ragged, shared_folder, stored,
+                                text_bytes)
 
 #: Lower-cases A-Z and turns every byte outside words into a space.  Words are
 #: runs of 0-9, a-z and non-ASCII characters.
@@ -93,6 +94,7 @@ def _segment(number: int, ids: list[int | None], docs: list[bytes]) -> pa.Record
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """The stored index of ``docs``: one row for each segment."""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         ids, held, total = [], [], 0
@@ -117,6 +119,7 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
                window: int = 10) -> DataFrame:
     """(item, words, n): the spaced words of each item; long items in pieces
     that repeat ``window - 1`` words, so each window lies in one piece."""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -296,6 +299,7 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, near: int | Non
     about ``block_words`` words each), read from the shared folder."""
     folder, blocks = window_blocks(items, window, id_col, text_col, block_words)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, windows, turn = -1, None, range(blocks)
         for batch in batches:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import chunks, discard, ragged, stored, text_bytes
+from mercato.llm.common import chunks, discard, giving_back, ragged, stored, text_bytes
 from mercato.llm.xxh import xxh64
 
 #: Lower-cases A-Z of UTF-8 bytes.
@@ -115,6 +115,7 @@ def simhash(texts: list[bytes], shingle: int = 3, seed: int = SEED) -> np.ndarra
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = 3, seed: int = SEED) -> DataFrame:
     """(id, fp): the SimHash of each row's text as a signed long."""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = simhash(text_bytes(batch.column(1)), shingle, seed)
@@ -238,6 +239,7 @@ def _edges(nodes: DataFrame, n: int, max_distance: int, leaf_rows: int,
     rng = np.random.default_rng(SEED)
     trees = [Tree((sample >> np.uint64(32 * k)).astype(np.uint32), PER_LEAF, rng) for k in (0, 1)]
 
+    @giving_back
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)

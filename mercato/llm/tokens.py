@@ -29,6 +29,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.common import chunks, file_system, ragged, shared_folder, stored, text_bytes
+from mercato.llm.common import (chunks, file_system, give_back, giving_back, ragged, shared_folder,
+                                stored, text_bytes)
 
 MAGIC = b"MPLANES1"
 TAIL = "<QQQQQQII8s"
 BLOCK_IDS = 65_536
 #: Pieces whose ids a worker process remembers, at most (about 50 MB).
 KNOWN_PIECES = 1_000_000
+#: Pieces given to the tokenizer at a time: what it returns is many times their size.
+PIECES_AT_ONCE = 8_192
+#: Words of which the ids are put in a row at a time.
+WORDS_AT_ONCE = 65_536
+#: Bytes of text encoded at a time (an index of all known pieces is built for each).
+ENCODED_BYTES = 8 << 20
 
 
 def split_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -200,16 +208,31 @@ class Pieces:
         normalizer = self.tokenizer.normalizer
         return text if normalizer is None else normalizer.normalize_str(text)
 
-    def _encoded(self, pieces: list[str]) -> list[list[int]]:
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the pieces in a row, number of ids of each)."""
         stems = [self._stem(p) for p in pieces]
-        parts = list(dict.fromkeys(x for pair in stems for x in pair if x))
+        number = {"": -1}  # of each stem and mark; none has no ids
+        for pair in stems:
+            for part in pair:
+                number.setdefault(part, len(number) - 1)
+        which = np.fromiter((number[part] for pair in stems for part in pair), np.int64, 2 * len(stems))
+        del stems, number[""]
+        parts = list(number)
+        del number
         at = self._find(pa.array(parts, pa.string()).cast(pa.binary()))
-        ids = {p: self.flat[self.start[k]:self.start[k] + self.size[k]].tolist()
-               for p, k in zip(parts, at.tolist()) if k >= 0}
-        new = [p for p in parts if p not in ids]
-        ids |= zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(
-            new, add_special_tokens=False)))
-        return [ids[stem] + ids[mark] if mark else ids[stem] for stem, mark in stems]
+        start, size = np.zeros(len(parts) + 1, np.int64), np.zeros(len(parts) + 1, np.int64)
+        known, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        start[known], size[known] = self.start[at[known]], self.size[at[known]]
+        flat = [self.flat]
+        for k in range(0, len(new), PIECES_AT_ONCE):
+            some = new[k:k + PIECES_AT_ONCE]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(
+                [parts[i] for i in some.tolist()], add_special_tokens=False)]
+            size[some] = [len(i) for i in ids]
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(size[some].sum())))
+        start[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
+        sizes = size[which]
+        return np.concatenate(flat)[ragged(start[which], sizes)], sizes.reshape(-1, 2).sum(1)
 
     def look(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, size, flat ids) of distinct pieces."""
@@ -220,10 +243,10 @@ class Pieces:
         if not len(missing):
             return start, size, self.flat
         new = names.take(pa.array(missing))
-        found = self._encoded(new.cast(pa.string()).to_pylist())
-        size[missing] = [len(f) for f in found]
-        start[missing] = len(self.flat) + np.cumsum(size[missing]) - size[missing]
-        flat = np.concatenate([self.flat, np.array([i for f in found for i in f], np.uint32)])
+        found, sizes = self._encoded(new.cast(pa.string()).to_pylist())
+        size[missing] = sizes
+        start[missing] = len(self.flat) + np.cumsum(sizes) - sizes
+        flat = np.concatenate([self.flat, found])
         if len(self.names) + len(new) <= KNOWN_PIECES:
             self.names = pa.concat_arrays([self.names, new])
             self.start = np.concatenate([self.start, start[missing]])
@@ -247,15 +270,22 @@ def encode(texts: list[bytes], pieces: Pieces, end_id: int) -> tuple[np.ndarray,
     spaced = [b" ".join(words) + b" " if (words := t.split()) else b"" for t in texts]
     n = np.array([s.count(b" ") for s in spaced], np.int64)
     buf = b"".join(spaced)
-    ends = np.flatnonzero(np.frombuffer(buf, np.uint8) == 32)
-    begin = np.concatenate([np.zeros(1, np.int64), ends + 1])
+    del spaced
+    ends = np.flatnonzero(np.frombuffer(buf, np.uint8) == 32).astype(np.int32)
+    begin = np.concatenate([np.zeros(1, np.int32), ends + np.int32(1)])
     words = pa.Array.from_buffers(pa.binary(), len(ends), [
-        None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(buf)])  # each with its space
+        None, pa.py_buffer(begin), pa.py_buffer(buf)])  # each with its space
     coded = words.dictionary_encode()
-    which = coded.indices.to_numpy(zero_copy_only=False)
-    start, size, flat = pieces.look(pc.binary_slice(coded.dictionary, 0, -1))
-    sizes = np.bincount(np.repeat(np.arange(len(texts)), n), size[which], len(texts)).astype(np.int64)
-    ids = flat[ragged(start[which], size[which])]
+    which, names = coded.indices.to_numpy(zero_copy_only=False), pc.binary_slice(coded.dictionary, 0, -1)
+    del buf, ends, begin, words, coded
+    start, size, flat = pieces.look(names)
+    sizes = np.bincount(np.repeat(np.arange(len(texts), dtype=np.int32), n), size[which], len(texts)).astype(np.int64)
+    ids, done = np.empty(int(sizes.sum()), np.uint32), 0
+    for k in range(0, len(which), WORDS_AT_ONCE):
+        some = which[k:k + WORDS_AT_ONCE]
+        part = flat[ragged(start[some], size[some])]
+        ids[done:done + len(part)] = part
+        done += len(part)
     return np.insert(ids, np.cumsum(sizes), np.uint32(end_id)), sizes + 1
 
 
@@ -269,18 +299,22 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, e
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "token-files")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer, out = TaskContext.get().partitionId(), None, None
         fs, base = file_system(folder)
         path = f"{base}/part-{part:06d}-{uuid.uuid4().hex}.planes"
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            if writer is None and texts:
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            if writer is None and doc_ids:
                 out = fs.open_output_stream(path)
                 writer = Writer(out, block_ids, bits)
-            for a, b in chunks([len(t) for t in texts], 8 << 20):
-                ids, sizes = encode(texts[a:b], load_pieces(tokenizer_path), end_id)
+            lengths = pc.binary_length(texts).fill_null(0).to_pylist()
+            for a, b in chunks(lengths, ENCODED_BYTES):
+                ids, sizes = encode(text_bytes(texts.slice(a, b - a)), load_pieces(tokenizer_path), end_id)
                 writer.add(doc_ids[a:b], sizes, ids)
+                del ids, sizes
+                give_back()
         if writer is not None:
             n_docs, n_ids, size = writer.close()
             out.close()
@@ -299,6 +333,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, e
 
 def read_ids(manifest: DataFrame, folder_uri: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) read back from the files."""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = file_system(folder_uri)
         for batch in batches:

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import chunks, labelled, ragged, stored, text_bytes
+from mercato.llm.common import chunks, give_back, giving_back, labelled, ragged, stored, text_bytes
 from mercato.llm.decontaminate import _word_array, spaced_words
 from mercato.llm.linededup import text_hash
 
@@ -114,6 +114,7 @@ def unpacked(data: bytes) -> pa.Table:
 def term_counts(examples: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """All terms of the examples, sorted; how many hold each, and how many of
     those are toxic."""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(0))
@@ -145,6 +146,7 @@ def telling(n: np.ndarray, n1: np.ndarray, total: int, ones: float, min_chi2: fl
 
 def document_counts(docs: DataFrame, terms, n_terms: int) -> np.ndarray:
     """How many of the documents (id, text) hold each of the broadcast terms."""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = terms.value.terms
         every = np.zeros(len(vocabulary), np.int64)
@@ -167,6 +169,7 @@ def document_counts(docs: DataFrame, terms, n_terms: int) -> np.ndarray:
 
 def example_terms(examples: DataFrame, terms) -> DataFrame:
     """(id, label, terms array<int>, times array<int>) of each example."""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(2))
@@ -299,7 +302,9 @@ class Examples(Terms):
 
     @cached_property
     def index(self) -> Index:
-        return Index(*self.example_vectors(), len(self.idf))
+        index = Index(*self.example_vectors(), len(self.idf))
+        give_back()
+        return index
 
     @cached_property
     def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,7 +312,10 @@ class Examples(Terms):
         at, term, weight = self.example_vectors()
         kept = self.telling[term]
         before = np.concatenate([[0], np.cumsum(kept)])
-        return before[at], term[kept], weight[kept]
+        told = before[at], term[kept], weight[kept]
+        del at, term, weight, kept, before
+        give_back()
+        return told
 
     def example_vectors(self):
         own = unpacked(self.own)
@@ -354,6 +362,7 @@ class Model:
 
 def own_votes(spark, examples, n: int) -> np.ndarray:
     """The vote on each of the n examples by the others; -1 for one without terms."""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             it = examples.value
@@ -425,6 +434,7 @@ def score(rows: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
                          "label": int(known.label[j])} for j, s in zip(found[:evidence], sim)]
         return out, proof
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # each distinct text of a batch once
@@ -436,6 +446,7 @@ def score(rows: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
                 value, found = scored(texts[a:b])
                 out += value
                 proof += found
+                give_back()
             value = np.array(out, float)[which]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(value), pa.array((value >= 0.5).astype(np.int32)),

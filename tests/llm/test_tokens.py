@@ -1,11 +1,14 @@
 import io
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from mercato.llm import tokens
+from mercato.llm import common, tokens
 from mercato.llm.common import file_system, shared_folder
 from mercato.llm.queries import QUERIES, tokenizer_path
 
@@ -84,3 +87,59 @@ def test_letters_that_decompose_before_a_mark():
     want = [e.ids + [1] for e in tok.encode_batch(texts, add_special_tokens=False)]
     for text, own, part in zip(texts, want, np.split(ids, np.cumsum(sizes)[:-1])):
         assert part.tolist() == own, text
+
+
+WORKER = """
+import re, sys
+import numpy as np
+import pyarrow as pa
+from mercato.llm import tokens
+from mercato.llm.common import chunks, text_bytes
+from mercato.llm.queries import tokenizer_path
+
+def mb(what):
+    return int(re.search(what + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+class Nowhere:
+    def write(self, data):
+        pass
+
+rng = np.random.default_rng(3)
+pieces = tokens.load_pieces(tokenizer_path())
+tokens.encode([b"a first text"], pieces, 1)
+writer = tokens.Writer(Nowhere())
+# 8 MB of text at a time: common words, and many that are met once
+for _ in range(3):
+    words = [b"word%d" % w for w in np.minimum(rng.zipf(1.3, 900_000), 20_000)]
+    words[::6] = [b"%x" % w for w in rng.integers(0, 1 << 40, len(words[::6]))]
+    texts = [b" ".join(words[k:k + 300]) for k in range(0, len(words), 300)]
+    del words
+    open("/proc/self/clear_refs", "w").write("5")  # the peak begins anew
+    before = mb("VmRSS")
+    ids, sizes = tokens.encode(texts, pieces, 1)
+    writer.add([None] * len(texts), sizes, ids)
+    del ids, sizes, texts
+    print(mb("VmHWM") - before)
+"""
+
+
+def test_memory_of_a_worker():
+    """8 MB of text need a bounded multiple of that (329 MB when all new pieces were
+    given to the tokenizer at once)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(tokens.__file__)))
+    done = subprocess.run([sys.executable, "-c", WORKER], capture_output=True, text=True,
+                          env=os.environ | {"PYTHONPATH": root})
+    assert not done.returncode, done.stderr
+    peaks = [float(line) for line in done.stdout.splitlines()]
+    assert len(peaks) == 3 and max(peaks) < 220, peaks
+
+
+def test_workers_give_memory_back_when_a_task_ends(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(len(seen)))
+    seen = []
+    for batch in common.giving_back(lambda batches: (b + 1 for b in batches))(iter([1, 2])):
+        seen.append(batch)
+    assert seen == [2, 3] and calls == [2]
+    monkeypatch.undo()
+    common.give_back()
