@@ -14,7 +14,8 @@ of ids, crc32 of the ids and the size of each plane.
 
 The tokenizer sees each distinct white-space separated piece of a batch at most
 once: it drops white space and never merges across it, so a text's ids are its
-pieces' ids in a row.  Capitals and a mark after a word do not make new pieces.
+pieces' ids in a row.  Capitals and marks after a word do not make new pieces, and
+new words go to the tokenizer many at a time, as one text.
 
 Defined cases: null text is empty; each document ends with ``end_id``, so an
 empty one has one token; null ids sort first; repeated rows and ties keep one
@@ -45,10 +46,16 @@ from mercato.llm.common import (chunks, file_system, give_back, giving_back, rag
 MAGIC = b"MPLANES1"
 TAIL = "<QQQQQQII8s"
 BLOCK_IDS = 65_536
-#: Pieces whose ids a worker process remembers, at most (about 50 MB).
+#: Stems and marks whose ids a worker process remembers, at most (about 50 MB).
 KNOWN_PIECES = 1_000_000
-#: Pieces given to the tokenizer at a time: what it returns is many times their size.
+#: Stems and marks given to the tokenizer at a time: what it returns is many times their size.
 PIECES_AT_ONCE = 8_192
+#: Words of Latin letters that make one text for the tokenizer.
+WORDS_A_TEXT = 256
+#: Such words; their lower case is one letter for each, and no normal form changes them.
+WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+#: Pieces of such a word and ASCII marks.  An apostrophe may belong to letters behind it.
+PLAIN = "^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-&(-/:-@\\[-`{-~]*)$"
 #: Words of which the ids are put in a row at a time.
 WORDS_AT_ONCE = 65_536
 #: Bytes of text encoded at a time (an index of all known pieces is built for each).
@@ -180,79 +187,110 @@ class Reader:
 
 
 class Pieces:
-    """The ids of white-space separated pieces, as one flat array with a start and
-    a size for each.  Up to KNOWN_PIECES are remembered: frequent ones come first, rare
-    ones are encoded when met."""
+    """The ids of white-space separated pieces.  A piece is a stem and the marks behind
+    it; of these parts up to KNOWN_PIECES are remembered, as one flat array of ids with a
+    start and a size for each: frequent ones come first, rare ones are encoded when met."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.names = pa.array([], pa.binary())
+        self.names = pa.array([], pa.string())
         self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
-
-    def _find(self, names: pa.Array) -> np.ndarray:
-        return pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False)
+        self.last = self._last()
+
+    def _last(self) -> np.ndarray | None:
+        """Which ids can only be the last of a word; none if the tokenizer does not mark them."""
+        model = self.tokenizer.model
+        suffix = getattr(model, "end_of_word_suffix", None)
+        if not suffix or model.unk_token is not None or any(
+                t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return None
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        last = np.zeros(max(vocab.values()) + 1, bool)
+        last[[i for name, i in vocab.items() if name.endswith(suffix)]] = True
+        return last
 
     def _stem(self, piece: str) -> tuple[str, str]:
         """A piece without a mark after its letters, and the mark: the tokenizer always
-        cuts between a letter and a mark, and it lower-cases letters itself.  Letters
-        that its normalizer turns into others and combining marks stay as they are:
-        a combining mark and the mark behind it are not cut."""
-        stem, mark = piece, ""
-        if len(piece) > 1 and piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-            if piece.isascii() or self._normal(piece[:-1]).isalpha():
-                stem, mark = piece[:-1], piece[-1]
-        return (stem.lower() if stem.isascii() and stem.isalpha() else stem), mark
+        cuts between a letter and a mark.  Letters that its normalizer turns into others
+        and combining marks stay as they are: a combining mark and the mark behind it
+        are not cut."""
+        if len(piece) > 1 and piece[-1] in ".,;:!?" and piece[:-1].isalpha() and self._normal(piece[:-1]).isalpha():
+            return piece[:-1], piece[-1]
+        return piece, ""
 
     def _normal(self, text: str) -> str:
         normalizer = self.tokenizer.normalizer
         return text if normalizer is None else normalizer.normalize_str(text)
 
-    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all the pieces in a row, number of ids of each)."""
-        stems = [self._stem(p) for p in pieces]
-        number = {"": -1}  # of each stem and mark; none has no ids
-        for pair in stems:
-            for part in pair:
-                number.setdefault(part, len(number) - 1)
-        which = np.fromiter((number[part] for pair in stems for part in pair), np.int64, 2 * len(stems))
-        del stems, number[""]
-        parts = list(number)
-        del number
-        at = self._find(pa.array(parts, pa.string()).cast(pa.binary()))
-        start, size = np.zeros(len(parts) + 1, np.int64), np.zeros(len(parts) + 1, np.int64)
-        known, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
-        start[known], size[known] = self.start[at[known]], self.size[at[known]]
-        flat = [self.flat]
-        for k in range(0, len(new), PIECES_AT_ONCE):
-            some = new[k:k + PIECES_AT_ONCE]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(
-                [parts[i] for i in some.tolist()], add_special_tokens=False)]
-            size[some] = [len(i) for i in ids]
-            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(size[some].sum())))
-        start[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
-        sizes = size[which]
-        return np.concatenate(flat)[ragged(start[which], sizes)], sizes.reshape(-1, 2).sum(1)
+    def _parts(self, pieces: pa.Array) -> pa.Array:
+        """The stems of all pieces, then the marks of all.  Latin letters are lower-cased,
+        as the tokenizer does it itself."""
+        cut = pc.extract_regex(pieces, PLAIN)
+        stem, mark = (pc.struct_field(cut, k) for k in ("stem", "mark"))
+        plain = pc.is_valid(cut)
+        stem = pc.if_else(plain, pc.utf8_lower(stem), None)
+        other = pc.invert(plain)
+        pairs = [self._stem(p) for p in pieces.filter(other).to_pylist()]
+        stem = pc.replace_with_mask(stem, other, pa.array([s for s, _ in pairs], pa.string()))
+        mark = pc.replace_with_mask(mark, other, pa.array([m for _, m in pairs], pa.string()))
+        return pa.concat_arrays([stem, mark])
+
+    def _coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the texts in a row, number of ids of each)."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def _coded_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of Latin letters: many make one text, cut behind their last ids."""
+        if self.last is not None:
+            ids, _ = self._coded([" ".join(words[k:k + WORDS_A_TEXT]) for k in range(0, len(words), WORDS_A_TEXT)])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            # each word has at least one such id: as many ids as words are one for each
+            if len(ends) == len(words):
+                return ids, np.diff(ends, prepend=0)
+        return self._coded(words)
+
+    def _encoded(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all the parts, start and number of ids of each)."""
+        word = pc.match_substring_regex(parts, WORD).to_numpy(zero_copy_only=False)
+        starts, sizes = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        flat, done = [], 0
+        for which, coded in ((np.flatnonzero(word), self._coded_words), (np.flatnonzero(~word), self._coded)):
+            for k in range(0, len(which), PIECES_AT_ONCE):
+                some = which[k:k + PIECES_AT_ONCE]
+                ids, sizes[some] = coded(parts.take(pa.array(some)).to_pylist())
+                starts[some] = done + np.cumsum(sizes[some]) - sizes[some]
+                flat.append(ids)
+                done += len(ids)
+        return np.concatenate(flat), starts, sizes
 
     def look(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, size, flat ids) of distinct pieces."""
-        at = self._find(names)
+        coded = self._parts(names.cast(pa.string())).dictionary_encode()
+        which, parts = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        del coded
+        at = pc.index_in(parts, value_set=self.names).fill_null(-1).to_numpy(zero_copy_only=False)
         missing = np.flatnonzero(at < 0)
-        start, size = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        start, size, flat = np.empty(len(at), np.int64), np.empty(len(at), np.int64), self.flat
         start[at >= 0], size[at >= 0] = self.start[at[at >= 0]], self.size[at[at >= 0]]
-        if not len(missing):
-            return start, size, self.flat
-        new = names.take(pa.array(missing))
-        found, sizes = self._encoded(new.cast(pa.string()).to_pylist())
-        size[missing] = sizes
-        start[missing] = len(self.flat) + np.cumsum(sizes) - sizes
-        flat = np.concatenate([self.flat, found])
-        if len(self.names) + len(new) <= KNOWN_PIECES:
-            self.names = pa.concat_arrays([self.names, new])
-            self.start = np.concatenate([self.start, start[missing]])
-            self.size = np.concatenate([self.size, size[missing]])
-            self.flat = flat
-        return start, size, flat
+        if len(missing):
+            new = parts.take(pa.array(missing))
+            found, starts, size[missing] = self._encoded(new)
+            start[missing] = len(flat) + starts
+            flat = np.concatenate([flat, found])
+            if len(self.names) + len(new) <= KNOWN_PIECES:
+                self.names = pa.concat_arrays([self.names, new])
+                self.start = np.concatenate([self.start, start[missing]])
+                self.size = np.concatenate([self.size, size[missing]])
+                self.flat = flat
+        # a piece's ids are those of its stem and of its marks in a row
+        which = which.reshape(2, -1).T.ravel()
+        sizes = size[which]
+        flat = flat[ragged(start[which], sizes)]
+        sizes = sizes.reshape(-1, 2).sum(1)
+        return np.cumsum(sizes) - sizes, sizes, flat
 
 
 def load_pieces(path: str) -> Pieces:
